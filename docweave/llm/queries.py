@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import packing, piece_bpe
-from docweave.llm.common import read_table
+from docweave.llm import langid, media, packing, piece_bpe, quality_rank, quality_rules, url_filter
+from docweave.llm.common import fold, read_table
 
 
 def tokenizer_file(name: str) -> str:
@@ -28,6 +28,73 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = media.features(media.metadata(media.store(read_table(spark, sf_dir, "documents"))))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+#: Addresses of the contract, and pattern rules for urls that none of them fits.
+URL_RULES = (
+    url_filter.address_rule("allow", "org/"),
+    url_filter.address_rule("block", "example.org/es/"),
+    url_filter.address_rule("block", "example.org/en/1"),
+    url_filter.address_rule("allow", "com/fr/"),
+    url_filter.address_rule("block", "com/de/"),
+    url_filter.pattern_rule("block", r"^(?:[^/?#]*\.)?ads\.", "ads"),
+    url_filter.pattern_rule("block", r"^[^/?#]*/(?:[^?#]*/)?casino(?:[/.?#-]|$)", "casino"),
+    url_filter.pattern_rule("block", r"^[^/?#]*/(?:[^?#]*/)?wp-login\.php(?:[?#]|$)", "wp", "login", "php"),
+    url_filter.pattern_rule("block", r"^[^?#]*\.exe(?:[?#]|$)", "exe"),
+)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP5_SQL = r"""
+WITH a AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), b AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS tail
+  FROM a
+), c AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM b
+)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+  WHEN rule IS NOT NULL THEN 'block'
+  WHEN regexp_matches(host, '(^|\.)ads\.') THEN 'block'
+  WHEN regexp_matches(path, '/casino([/.-]|$)') THEN 'block'
+  WHEN regexp_matches(path, '/wp-login\.php$') THEN 'block'
+  WHEN regexp_matches(host || path, '\.exe$') THEN 'block'
+  ELSE 'allow' END AS verdict
+FROM c
+""".replace("\\\\", "\\")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    net = langid.train(docs, fold("doc_id", 4) != 2)
+    return langid.predict(docs, net).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.with_base(read_table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality_rank.train(docs, read_table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    return quality_rank.score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return out.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -36,9 +103,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
+        "op4_media": op4_media,
+        "op5_url_filter": op5_url_filter,
+        "op6_language": op6_language,
+        "op7_quality_rules": op7_quality_rules,
         "op8_packing": op8_packing,
+        "op9_quality_rank": op9_quality_rank,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filter": OP5_SQL}
