@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import langid, media, packing, piece_bpe, quality_rank, quality_rules, url_filter
+from docweave.llm import langid, media, packing, piece_bpe, quality_rank, quality_rules, suffix_lm, url_filter
 from docweave.llm.common import fold, read_table
 
 
@@ -28,6 +28,13 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
+    out = suffix_lm.score(docs.select("doc_id", "text"), ~held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = media.features(media.metadata(media.store(read_table(spark, sf_dir, "documents"))))
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -103,6 +110,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
+        "op3_suffix_lm": op3_suffix_lm,
         "op4_media": op4_media,
         "op5_url_filter": op5_url_filter,
         "op6_language": op6_language,
