@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import langid, media, packing, piece_bpe, quality_rank, quality_rules, suffix_lm, url_filter
+from docweave.llm import jaccard_join, langid, media, packing, piece_bpe, quality_rank, quality_rules, suffix_lm, url_filter
 from docweave.llm.common import fold, read_table
 
 
@@ -107,6 +107,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
@@ -117,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_rules": op7_quality_rules,
         "op8_packing": op8_packing,
         "op9_quality_rank": op9_quality_rank,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
