@@ -106,7 +106,7 @@ def surveyed(df: DataFrame, text: str, key: str) -> DataFrame:
             c, n = c[often], n[often]
             code.clear()
             count.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(["h"] * len(c)), pa.nulls(len(c), id_arrow), pa.array(n), pa.array(c.view(np.int64)), pa.nulls(len(c), pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(["h"] * len(c), pa.string()), pa.nulls(len(c), id_arrow), pa.array(n), pa.array(c.view(np.int64)), pa.nulls(len(c), pa.int64())], names=names)
 
         id_arrow = None
         for batch in chunks(batches, "text"):
@@ -125,7 +125,7 @@ def surveyed(df: DataFrame, text: str, key: str) -> DataFrame:
             if sum(map(len, code)) > EPOCH:
                 yield from frequent()
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(["d"] * len(cls)), batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), batch.column("th")], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(["d"] * len(cls), pa.string()), batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), batch.column("th")], names=names)
         if id_arrow is not None:
             yield from frequent()
 
