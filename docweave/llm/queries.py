@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import jaccard_join, langid, media, packing, piece_bpe, quality_rank, quality_rules, suffix_lm, url_filter
+from docweave.llm import html_extract, jaccard_join, langid, media, packing, piece_bpe, quality_rank, quality_rules, suffix_lm, url_filter
 from docweave.llm.common import fold, read_table
 
 
@@ -18,6 +18,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(read_table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = piece_bpe.encode_decode(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
     return out.select(
@@ -113,6 +118,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html": op1_html,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_suffix_lm": op3_suffix_lm,
         "op4_media": op4_media,
