@@ -4,8 +4,8 @@ A document's set is that of its distinct 5-word shingles (of its whole word sequ
 two documents link when their sets' Jaccard similarity reaches 80 %. Documents with equal sets are one
 class, and only classes are compared.
 
-*Where pairs meet.* Shingles have one global order: rare ones first, those that many documents share
-last. Two sets that link share one of the first n - ceil(0.8 n) + 1 shingles of each, so every link
+*Where pairs meet.* Shingles have one global order: those that many documents share come last, the rest
+by how common their words are, rare ones first. Two sets that link share one of the first n - ceil(0.8 n) + 1 shingles of each, so every link
 is inside some shingle's group of classes. Most shingles have one class and are dropped at once.
 
 *Stars.* In each group, every class is paired with the group's smallest one, the pair's overlap bound and
@@ -19,9 +19,10 @@ Groups over BLOCK classes are split into pairs of blocks, so no group is one tas
 verified on the sets. No link between components can be lost, so components are exact.
 
 Text passes: one for set sizes, class signatures and frequent shingles, one for the keys, one over the
-classes that share a key. The frequent shingles that set the order are those in at least HOT_SHARE of the
-documents: at most mean set size / HOT_SHARE of them, checked against HOT_MOST. (Any fixed order gives
-the same result; the choice only keeps groups small.)
+classes that share a key. The order's tables are bounded: common words are those of at least WORD_SHARE of all
+tokens (at most 1 / WORD_SHARE), frequent shingles those in at least HOT_SHARE of the documents (at most
+mean set size / HOT_SHARE, held to HOT_MOST). Any fixed order gives the same result; a good one keeps
+chance meetings out and groups small.
 
 Defined results: null and empty texts have no shingles and link with nothing; equal rows are one class;
 null ids take part but name no component (a component of null ids has a null id); rows that share an id
@@ -44,9 +45,13 @@ from docweave.llm.suffix_lm import summed
 #: Words in a shingle; the similarity of a link in hundredths.
 WIDTH, PERCENT = 5, 80
 #: Coordinates of a count vector, points in a leaf, classes in a block of a split group.
-DIMS, LEAF, BLOCK = 64, 16, 1024
+DIMS, LEAF, BLOCK = 256, 16, 1024
 #: Shingles of at least this share of the documents come last in the order; local counts below HOT_LOCAL are not gathered.
-HOT_SHARE, HOT_MOST, HOT_LOCAL, EPOCH = 1e-4, 4_000_000, 8, 3 << 20
+HOT_SHARE, HOT_MOST, HOT_LOCAL, EPOCH = 1e-4, 4_000_000, 4, 3 << 20
+#: Words with at least this share of all tokens have a rank above zero in the order.
+WORD_SHARE = 1e-5
+#: Bits of the map that spares texts the way to a join.
+MAP_BITS = 1 << 26
 
 
 def least_overlap(a, b, percent: int = PERCENT):
@@ -58,26 +63,37 @@ def prefix_length(n, percent: int = PERCENT):
     return n - -(-percent * n // 100) + 1
 
 
-def sets_of(column: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each row."""
+def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the rows, lower-cased, and the row of each."""
     buf, offsets = text_bytes(column)
     buf = lowered(buf)
     starts, ends, rows = word_spans(buf, offsets)
-    words = span_hashes(buf, starts, ends)
+    return span_hashes(buf, starts, ends), rows
+
+
+def sets_of(words: np.ndarray, rows: np.ndarray, n: int, ranks: np.ndarray | None = None, width: int = WIDTH) -> list:
+    """Sorted distinct shingle hashes of each of n rows; with ``ranks`` of the words, pairs of them and their summed ranks."""
     shingles, at = shingle_hashes(words, rows, width)
-    owner = rows[at]
-    cut = np.searchsorted(owner, np.arange(len(column) + 1))
-    first = np.searchsorted(rows, np.arange(len(column) + 1))
+    cut = np.searchsorted(rows[at], np.arange(n + 1))
+    first = np.searchsorted(rows, np.arange(n + 1))
+    if ranks is not None:
+        sums = np.concatenate([[0], np.cumsum(ranks)])
+        summed_ranks = sums[at + width] - sums[at]
     out = []
-    for i in range(len(column)):
+    for i in range(n):
         found = shingles[cut[i] : cut[i + 1]]
-        if not len(found) and first[i + 1] > first[i]:
+        short = not len(found) and first[i + 1] > first[i]
+        if short:
             whole = np.uint64(first[i + 1] - first[i])
             with np.errstate(over="ignore"):
                 for w in words[first[i] : first[i + 1]]:
                     whole = whole * np.uint64(0x9E3779B97F4A7C15) + w
             found = mix(np.array([whole], np.uint64))
-        out.append(np.unique(found))
+        if ranks is None:
+            out.append(np.unique(found))
+        else:
+            found, where = np.unique(found, return_index=True)
+            out.append((found, np.zeros(1, np.int64) if short else summed_ranks[cut[i] : cut[i + 1]][where]))
     return out
 
 
@@ -89,70 +105,85 @@ def signature(found: np.ndarray) -> int:
 
 def vectors_of(sets: list[np.ndarray]) -> np.ndarray:
     """Count vectors: how many shingles of each set are hashed into each of DIMS groups."""
-    return np.stack([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=DIMS) for s in sets]).astype(np.int32) if sets else np.zeros((0, DIMS), np.int32)
+    return np.stack([np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=DIMS) for s in sets]).astype(np.int32) if sets else np.zeros((0, DIMS), np.int32)
+
+
+def packed(vectors: np.ndarray) -> pa.Array:
+    """Count vectors as binary values."""
+    ends = np.arange(len(vectors) + 1, dtype=np.int32) * (4 * DIMS)
+    return pa.Array.from_buffers(pa.binary(), len(vectors), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(vectors.astype("<i4").tobytes())])
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(-1, DIMS)
 
 
 def surveyed(df: DataFrame, text: str, key: str) -> DataFrame:
-    """One pass: for each row its id, set size n, class and text hash (kind d); and locally frequent shingles with their counts (kind h)."""
+    """One pass: for each row its id, set size n, class, text hash and count vector (kind d); locally frequent shingles (kind h) and words (kind w) with their counts."""
     id_type = df.schema[key].dataType.simpleString()
-    names = ["kind", "id", "n", "cls", "th"]
+    names = ["kind", "id", "n", "cls", "th", "vector"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, count, seen = [], [], set()
+        code, count, seen, word, times = [], [], set(), [], []
 
         def frequent() -> Iterator[pa.RecordBatch]:
-            c, n = summed(code, count)
-            often = n >= HOT_LOCAL
-            c, n = c[often], n[often]
-            code.clear()
-            count.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(["h"] * len(c), pa.string()), pa.nulls(len(c), id_arrow), pa.array(n), pa.array(c.view(np.int64)), pa.nulls(len(c), pa.int64())], names=names)
+            for kind, (c, n) in (("h", summed(code, count)), ("w", summed(word, times))):
+                often = n >= (HOT_LOCAL if kind == "h" else max(2, WORD_SHARE / 2 * n.sum()))
+                c, n = c[often], n[often]
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(c), pa.string()), pa.nulls(len(c), id_arrow), pa.array(n), pa.array(c.view(np.int64)), pa.nulls(len(c), pa.int64()), pa.nulls(len(c), pa.binary())], names=names)
+            for held in (code, count, word, times, seen):
+                held.clear()
 
         id_arrow = None
         for batch in chunks(batches, "text"):
             id_arrow = batch.schema.field("id").type
-            sets = sets_of(batch.column("text"))
+            words, rows = words_of(batch.column("text"))
+            sets = sets_of(words, rows, batch.num_rows)
             cls = [signature(s) for s in sets]
             fresh = []
             for c, s in zip(cls, sets, strict=True):
                 if c not in seen:
                     seen.add(c)
                     fresh.append(s)
-            if fresh:
-                c, n = np.unique(np.concatenate(fresh), return_counts=True)
-                code.append(c)
-                count.append(n.astype(np.int64))
+            for of, into, often in ((np.concatenate(fresh or [np.zeros(0, np.uint64)]), code, count), (words, word, times)):
+                c, n = np.unique(of, return_counts=True)
+                into.append(c)
+                often.append(n.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(["d"] * len(cls), pa.string()), batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), batch.column("th"), packed(vectors_of(sets))], names=names)
             if sum(map(len, code)) > EPOCH:
                 yield from frequent()
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(["d"] * len(cls), pa.string()), batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), batch.column("th")], names=names)
         if id_arrow is not None:
             yield from frequent()
 
     source = df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
-    return source.mapInArrow(run, f"kind string, id {id_type}, n long, cls long, th long")
+    return source.mapInArrow(run, f"kind string, id {id_type}, n long, cls long, th long, vector binary")
+
+
+def looked_up(table: tuple[np.ndarray, np.ndarray], codes: np.ndarray) -> np.ndarray:
+    """Values of codes in a table of sorted codes and values; 0 for others."""
+    if not len(table[0]):
+        return np.zeros(len(codes), np.int64)
+    at = np.minimum(np.searchsorted(table[0], codes), len(table[0]) - 1)
+    return np.where(table[0][at] == codes, table[1][at], 0)
 
 
-def prefix_keys(df: DataFrame, text: str, hot, percent: int = PERCENT) -> DataFrame:
-    """(key, cls, n) of the first shingles of each class, once a task. ``hot``: broadcast codes (sorted) and counts."""
+def prefix_keys(df: DataFrame, text: str, order, percent: int = PERCENT) -> DataFrame:
+    """(key, cls, n) of the first shingles of each class, once a task. ``order``: broadcast tables of frequent
+    shingles with their counts and of common words with their ranks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = hot.value
+        hot, common = order.value
         seen: set[int] = set()
         for batch in chunks(batches, "text"):
             keys, cls, size = [], [], []
-            for s in sets_of(batch.column("text")):
+            words, rows = words_of(batch.column("text"))
+            for s, ranks in sets_of(words, rows, batch.num_rows, looked_up(common, words)):
                 c = signature(s)
                 if not len(s) or c in seen:
                     continue
                 seen.add(c)
                 n = len(s)
-                if len(codes):
-                    at = np.minimum(np.searchsorted(codes, s), len(codes) - 1)
-                    often = np.where(codes[at] == s, counts[at], 0)
-                    if often.any():
-                        s = s[np.argsort(often, kind="stable")]
-                first = s[: prefix_length(n, percent)]
+                first = s[np.lexsort((ranks, looked_up(hot, s)))[: prefix_length(n, percent)]]
                 keys.append(first)
                 cls.append(np.full(len(first), c, np.int64))
                 size.append(np.full(len(first), n, np.int64))
@@ -162,6 +193,13 @@ def prefix_keys(df: DataFrame, text: str, hot, percent: int = PERCENT) -> DataFr
     return df.select(F.col(text).alias("text")).mapInArrow(run, "key long, cls long, n long")
 
 
+def sorted_table(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Codes in order and their values, of a table of both."""
+    code, value = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
+    at = np.argsort(code)
+    return code[at], value[at]
+
+
 def grouped(keys: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Groups of two or more classes: kind s (cls with the group's smallest, sizes permitting) and, of three
     or more, kind g (the group's rows). A group passes through as it is sorted; only its first row is held."""
@@ -209,37 +247,79 @@ def grouped(keys: DataFrame, percent: int = PERCENT) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(run, "kind string, key long, cls long, n long, hub long")
 
 
+def bit_map(wanted: DataFrame):
+    """A broadcast map of MAP_BITS bits, whatever the input, with those of the hashes ``th`` set."""
+    spark = wanted.sparkSession
+    bit = F.pmod(F.col("th"), F.lit(MAP_BITS))
+    words = wanted.groupBy(F.shiftright(bit, 5).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(31).cast("int"))).alias("b")).toArrow()
+    bits = np.zeros(MAP_BITS // 32, np.uint32)
+    bits[words.column(0).to_numpy()] = words.column(1).to_numpy().astype(np.uint32)
+    return spark.sparkContext.broadcast(bits)
+
+
+def mapped(df: DataFrame, th: str, bits, inside: bool) -> DataFrame:
+    """Rows whose hash is in the map, or is not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(th).to_numpy() % MAP_BITS
+            yield batch.filter(pa.array(((bits.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1) == inside))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def held_texts(df: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFrame:
+    """Texts of the rows named by ``wanted`` (id, th); rows whose hash is not in the bit map of the wanted
+    ones go before the join moves any text."""
+    source = df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
+    likely = mapped(source, "th", bit_map(wanted), True)
+    wanted = wanted.select(F.col("id").alias("wid"), F.col("th").alias("wth"))
+    return likely.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")), "left_semi")
+
+
 def described(texts: DataFrame) -> DataFrame:
-    """(cls, n, found, vector) of texts: the set as sorted hashes and its count vector."""
+    """(cls, found) of texts: the set as sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            sets = sets_of(batch.column("text"))
+            sets = sets_of(*words_of(batch.column("text")), batch.num_rows)
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             found = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-            vectors = vectors_of(sets)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([signature(s) for s in sets], pa.int64()), pa.array(np.diff(ends).astype(np.int64)), found, pa.array([v.astype("<i4").tobytes() for v in vectors], pa.binary())], names=["cls", "n", "found", "vector"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), found], names=["cls", "found"])
+
+    return texts.select("text").mapInArrow(run, "cls long, found array<long>").dropDuplicates(["cls"])
 
-    return texts.select("text").mapInArrow(run, "cls long, n long, found array<long>, vector binary").dropDuplicates(["cls"])
+
+def bounded(pairs: DataFrame, near: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of the pairs (cls, hub) whose sum of coordinate minima admits a link."""
+    a = near.select("cls", F.col("vector").alias("va"))
+    b = near.select(F.col("cls").alias("hub"), F.col("vector").alias("vb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            va, vb = unpacked(batch.column("va")), unpacked(batch.column("vb"))
+            good = np.minimum(va, vb).sum(axis=1) >= least_overlap(va.sum(axis=1), vb.sum(axis=1), percent)
+            yield batch.select(["cls", "hub"]).filter(pa.array(good))
+
+    return pairs.select("cls", "hub").join(a, "cls").join(b, "hub").select("cls", "hub", "va", "vb").mapInArrow(run, "cls long, hub long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs (cls, hub) that link: first by the sum of coordinate minima, then by the sets."""
-    a = sets.select("cls", F.col("found").alias("fa"), F.col("vector").alias("va"))
-    b = sets.select(F.col("cls").alias("hub"), F.col("found").alias("fb"), F.col("vector").alias("vb"))
+    """Those of the pairs (cls, hub) whose sets link."""
+    a = sets.select("cls", F.col("found").alias("fa"))
+    b = sets.select(F.col("cls").alias("hub"), F.col("found").alias("fb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            va, vb = (np.frombuffer(b"".join(batch.column(x).to_pylist()), "<i4").reshape(-1, DIMS) for x in ("va", "vb"))
-            need = least_overlap(va.sum(axis=1), vb.sum(axis=1), percent)
-            good = np.flatnonzero(np.minimum(va, vb).sum(axis=1) >= need)
-            fa, fb = batch.column("fa"), batch.column("fb")
-            linked = [i for i in good if len(np.intersect1d(fa[int(i)].values.to_numpy().view(np.uint64), fb[int(i)].values.to_numpy().view(np.uint64), assume_unique=True)) >= need[i]]
+            linked = []
+            for i, (x, y) in enumerate(zip(batch.column("fa"), batch.column("fb"), strict=True)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if shared >= least_overlap(len(x), len(y), percent):
+                    linked.append(i)
             yield batch.select(["cls", "hub"]).take(pa.array(linked, pa.int64()))
 
-    return pairs.select("cls", "hub").join(a, "cls").join(b, "hub").select("cls", "hub", "fa", "va", "fb", "vb").mapInArrow(run, "cls long, hub long")
+    return pairs.select("cls", "hub").join(a, "cls").join(b, "hub").select("cls", "hub", "fa", "fb").mapInArrow(run, "cls long, hub long")
 
 
 class RTree:
@@ -271,21 +351,24 @@ class RTree:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def searched(groups: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def searched(groups: DataFrame, near: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (cls, hub) of different components that the R-trees leave. ``groups``: (key, cls, comp)."""
-    sizes = groups.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "m")
+    print_of = [F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("y")]
+    sizes = groups.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *print_of).where("lo < hi")
+    # a passage gives many keys the same classes: one of them is enough
+    sizes = sizes.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m")
     rows = groups.join(sizes, "key")
     # of a group of k blocks, a class goes to the k pairs of blocks that hold its own
     k = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = rows.withColumn("k", k).withColumn("mine", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("k")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "comp").join(sets.select("cls", "n", "vector"), "cls")
+    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cls", "comp").join(near, "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, ("key", "i", "j")):
             cls, comp, mine, n = (batch.column(x).to_numpy() for x in ("cls", "comp", "mine", "n"))
             i, j = batch.column("i")[0].as_py(), batch.column("j")[0].as_py()
-            vectors = np.frombuffer(b"".join(batch.column("vector").to_pylist()), "<i4").reshape(-1, DIMS)
+            vectors = unpacked(batch.column("vector"))
             # each class of block i searches the tree of block j
             asking, asked = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
             if not len(asking) or not len(asked):
@@ -359,25 +442,30 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", percent: int =
     full = members.where("n > 0")
     total, shingles = full.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     share = max(HOT_SHARE, shingles / max(1, total) / HOT_MOST)
-    hot_rows = survey.where("kind = 'h'").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2 * HOT_LOCAL, share * total)).toArrow()
-    code, often = hot_rows.column(0).to_numpy().view(np.uint64), hot_rows.column(1).to_numpy()
-    order = np.argsort(code)
-    hot = spark.sparkContext.broadcast((code[order], often[order]))
+    counts = survey.where("kind <> 'd'").groupBy("kind", "cls").agg(F.sum("n").alias("n"))
+    hot = counts.where((F.col("kind") == "h") & (F.col("n") >= max(2 * HOT_LOCAL, share * total))).select("cls", "n")
+    least = max(2.0, WORD_SHARE * shingles)
+    common = counts.where((F.col("kind") == "w") & (F.col("n") >= least)).select("cls", F.round(1 + 16 * F.log2(F.col("n") / least)).cast("long").alias("n"))
+    order = spark.sparkContext.broadcast((sorted_table(hot.toArrow()), sorted_table(common.toArrow())))
 
-    groups = staged(grouped(prefix_keys(df, text, hot, percent), percent), "jaccard-groups")
+    groups = staged(grouped(prefix_keys(df, text, order, percent), percent), "jaccard-groups")
     stars = groups.where("kind = 's'").select("cls", "hub").distinct()
     runs = groups.where("kind = 'g'").select("key", "cls")
     classes = full.groupBy("cls").agg(F.min(F.struct("id", "th")).alias("first"), F.min("id").alias("least"))
     wanted = groups.where("kind = 's'").select(F.explode(F.array("cls", "hub")).alias("cls")).union(runs.select("cls")).distinct()
-    wanted = wanted.join(classes, "cls").select("first.id", "first.th")
-    source = df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
-    texts = source.join(wanted.withColumnsRenamed({"id": "wid", "th": "wth"}), F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")), "left_semi")
-    sets = staged(described(texts), "jaccard-sets")
+    points = survey.where("kind = 'd' and n > 0").select("cls", "n", "vector")
+    near = staged(points.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "jaccard-near")
 
-    links = staged(verified(stars, sets, percent), "jaccard-links")
+    def linked_of(pairs: DataFrame) -> DataFrame:
+        left = staged(bounded(pairs, near, percent), "jaccard-pairs")
+        named = left.select(F.explode(F.array("cls", "hub")).alias("cls")).distinct().join(classes, "cls").select("first.id", "first.th")
+        sets = staged(described(held_texts(df, text, key, named)), "jaccard-sets")
+        return staged(verified(left, sets, percent), "jaccard-links")
+
+    links = linked_of(stars)
     roots = components(links)
     placed = runs.join(roots, "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("comp"))
-    more = staged(verified(searched(placed, sets, percent), sets, percent), "jaccard-links")
+    more = linked_of(searched(placed, near, percent))
     if more.limit(1).count():
         roots = components(links.unionByName(more))
 
@@ -387,3 +475,20 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", percent: int =
     linked = full.join(of_class, "cls").select(F.col("id").alias(key), "th", F.col("n").alias("n_shingles"), "cls", "root", "component_id")
     alone = members.where("n = 0").select(F.col("id").alias(key), "th", F.col("n").alias("n_shingles"), "cls", F.lit(None).cast("long").alias("root"), F.col("id").alias("component_id"))
     return linked.unionByName(alone)
+
+
+def first_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+    """``df`` with one row of each component: that of the smallest (id, text hash). Rows without shingles
+    all stay; rows that repeat both id and text are one. Only rows whose hash is in the bit map of those
+    that may go are moved; the others pass straight through."""
+    rows = staged(join(df, text, key, percent).select(F.col(key).alias("id"), "th", "root"), "jaccard-rows")
+    linked = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("id", "th")).alias("f")).select("f.id", "f.th")
+    firsts = linked.union(rows.where("root is null").select("id", "th")).withColumn("first", F.lit(1))
+    each = rows.select("id", "th", F.lit(0).alias("first")).union(firsts).groupBy("id", "th").agg(F.max("first").alias("first"), (F.count("*") - F.sum("first")).alias("n"))
+    unsure = staged(each.where("first = 0 or n > 1"), "jaccard-unsure")
+    bits = bit_map(unsure)
+    source = df.withColumn("_th", F.xxhash64(text))
+    moved = mapped(source, "_th", bits, True)
+    gone = unsure.where("first = 0").select(F.col("id").alias("_id"), F.col("th").alias("_oth"))
+    stays = moved.join(gone, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_oth")), "left_anti").dropDuplicates([key, "_th"])
+    return mapped(source, "_th", bits, False).unionByName(stays).drop("_th")

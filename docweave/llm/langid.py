@@ -231,11 +231,12 @@ def has_letter(buf: np.ndarray, offsets: np.ndarray, column: pa.Array) -> np.nda
 def predict(df: DataFrame, net: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` with lang_pred and score, the pooled probability of that language."""
     kept = list(keep)
+    read = text if text in kept else "_text"  # the text is carried once
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "_text"):
-            column = batch.column("_text")
+        for batch in chunks(batches, read):
+            column = batch.column(read)
             buf, offsets = text_bytes(column)
             known = has_letter(buf, offsets, column) & bool(net.langs)
             lang, score = [UNKNOWN] * len(column), np.zeros(len(column))
@@ -246,4 +247,4 @@ def predict(df: DataFrame, net: Network, text: str = "text", keep: tuple[str, ..
                 score = np.where(known, np.clip(p.max(axis=1), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
-    return df.select(*kept, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return df.select(*kept, *([] if text in kept else [F.col(text).alias("_text")])).mapInArrow(run, schema)
