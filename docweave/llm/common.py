@@ -18,8 +18,8 @@ CHUNK_BYTES = 2 << 20
 #: The white space of the contracts, [\x20\x09-\x0D].
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 
-_IS_SPACE = np.zeros(256, dtype=bool)
-_IS_SPACE[list(SPACES)] = True
+IS_SPACE = np.zeros(256, dtype=bool)
+IS_SPACE[list(SPACES)] = True
 _rng = np.random.default_rng(20240229)
 _BYTE_CODE = _rng.integers(1, 2**63, size=256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -91,7 +91,7 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     if not len(buf):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~_IS_SPACE[buf]
+    inside = ~IS_SPACE[buf]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     cuts = offsets[:-1]
@@ -121,7 +121,7 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """A 64-bit hash of each byte span, from one polynomial prefix sum over the buffer."""
     n = len(buf)
     if len(_powers[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + (1 << 16))
+        size = n + 1 + (1 << 18)
         for i, base in enumerate((_BASE, _INV)):
             powers = np.full(size, base, np.uint64)
             powers[0] = 1

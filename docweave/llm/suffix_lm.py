@@ -31,17 +31,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from docweave.llm.common import chunks, lowered, span_hashes, staged, text_bytes, word_spans
+from docweave.llm.common import IS_SPACE, chunks, lowered, span_hashes, staged, text_bytes, word_spans
 
-DEPTH, P_MIN = 6, 3e-6
+DEPTH, P_MIN = 5, 2e-6
 #: Nats that a context must save: this share of all training symbols, and LEAST_GAIN at least.
-GAIN, LEAST_GAIN, LEAST_COUNT = 3e-7, 4.0, 4
+GAIN, LEAST_GAIN, LEAST_COUNT = 2e-7, 16.0, 4
 BLANK, END = 0x20, 0x0A
+#: A token's probability is this share of the tree's and, for the rest, its share of the training tokens.
+TREE_SHARE = 0.8
 #: The hash that stands for the end token among words.
 END_WORD = np.uint64(0x454E44)
-#: Bytes of text in a block; entries that a task gathers before it adds equal ones up.
-BLOCK, GATHER = 2 << 20, 3 << 20
+#: Bytes of text in a block; entries that a task gathers before it adds equal ones up; bytes of text worked on at once.
+BLOCK, GATHER, PIECE = 6 << 20, 2 << 20, 1 << 20
 #: Symbols that a lane of the automaton reads.
 SEGMENT = 256
 
@@ -49,21 +52,22 @@ SEGMENT = 256
 def spelled(buf: np.ndarray, offsets: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, tuple]:
     """The symbols of all rows, each row as ``pad`` line feeds, its words with blanks, and the end; where
     each row begins in them; and the word spans."""
-    spans = starts, _, rows = word_spans(buf, offsets)
     n = len(offsets) - 1
-    inside = np.zeros(len(buf) + 1, np.int8)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, spans[1], -1)
-    at = np.flatnonzero(np.cumsum(inside[:-1]))
-    word = np.searchsorted(starts, at, side="right") - 1
-    sizes = np.bincount(rows, weights=spans[1] - starts + 1, minlength=n).astype(np.int64) + pad + 1
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-    out = np.full(begins[-1], END, np.uint8)
-    rank = np.arange(len(at))
-    out[rank + word + rows[word] * (pad + 1) + pad] = buf[at]
-    lasts = np.cumsum(spans[1] - starts)
-    out[lasts + np.arange(len(starts)) + rows * (pad + 1) + pad] = BLANK
-    return out, begins, spans
+    room = offsets + np.arange(n + 1) * (pad + 2)  # each row gets its feeds, a blank after its last word, and the end
+    out = np.full(room[-1], BLANK, np.uint8)
+    for i in range(n):
+        out[room[i] + pad : room[i + 1] - 2] = buf[offsets[i] : offsets[i + 1]]
+    space = IS_SPACE[out]
+    kept = ~space
+    kept[1:] |= ~space[:-1]
+    out[space] = BLANK
+    for i in range(pad):
+        out[room[:-1] + i] = END
+        kept[room[:-1] + i] = True
+    out[room[1:] - 1] = END
+    kept[room[1:] - 1] = True
+    sizes = np.add.reduceat(kept, room[:-1], dtype=np.int64) if n else np.zeros(0, np.int64)
+    return out[kept], np.concatenate([[0], np.cumsum(sizes)]), word_spans(buf, offsets)
 
 
 def summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +75,7 @@ def summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     if not codes:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     code, count = np.concatenate(codes), np.concatenate(counts)
-    order = np.argsort(code, kind="stable")
+    order = np.argsort(code)
     code, count = code[order], count[order]
     first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
     return code[first], np.add.reduceat(count, first) if len(first) else count
@@ -89,26 +93,26 @@ def runs(symbols: np.ndarray, begins: np.ndarray, depth: int) -> np.ndarray:
 
 
 def counted(df: DataFrame, text: str, depth: int = DEPTH) -> DataFrame:
-    """Corpus counts: kind w (word hashes, the end as END_WORD) and g (runs of depth + 1 symbols)."""
-    schema = "kind string, code long, n long"
+    """Corpus counts: of words (hashes, the end as END_WORD) and of runs of depth + 1 symbols (``run``)."""
+    schema = "run boolean, code long, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[list, list]] = {"w": ([], []), "g": ([], [])}
+        held: dict[bool, tuple[list, list]] = {False: ([], []), True: ([], [])}
 
-        def emit(kind: str) -> Iterator[pa.RecordBatch]:
+        def emit(kind: bool) -> Iterator[pa.RecordBatch]:
             code, n = summed(*held[kind])
             held[kind] = ([], [])
             for k in range(0, len(code), 1 << 17):
                 part = code[k : k + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(part)), pa.array(part.view(np.int64)), pa.array(n[k : k + (1 << 17)])], names=["kind", "code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind)), pa.array(part.view(np.int64)), pa.array(n[k : k + (1 << 17)])], names=["run", "code", "n"])
 
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", PIECE):
             buf, offsets = text_bytes(batch.column("text"))
             buf = lowered(buf)
             symbols, begins, spans = spelled(buf, offsets, depth)
             words, times = np.unique(span_hashes(buf, *spans[:2]), return_counts=True)
             grams, often = np.unique(runs(symbols, begins, depth), return_counts=True)
-            for kind, code, n in (("w", np.append(words, END_WORD), np.append(times, batch.num_rows)), ("g", grams, often)):
+            for kind, code, n in ((False, np.append(words, END_WORD), np.append(times, batch.num_rows)), (True, grams, often)):
                 held[kind][0].append(code)
                 held[kind][1].append(n.astype(np.int64))
                 if sum(map(len, held[kind][0])) > GATHER:
@@ -120,7 +124,8 @@ def counted(df: DataFrame, text: str, depth: int = DEPTH) -> DataFrame:
             yield from emit(kind)
 
     parts = df.select(F.col(text).alias("text")).mapInArrow(run, schema)
-    return parts.groupBy("kind", "code").agg(F.sum("n").alias("n"))
+    # equal codes of a task are added up already; dealt out before the sum, so that Spark doesn't try it again first
+    return parts.repartition("run", "code").groupBy("run", "code").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -133,8 +138,9 @@ class Tree:
     logs: np.ndarray
     contexts: list[bytes]
 
-    def score(self, symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """log10 probability of each row of symbols spelled with one line feed in front."""
+    def tokens(self, symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """log10 probability of each token of rows of symbols spelled with one line feed in front: the
+        words of a row with their blank, then its end."""
         x = self.classes[symbols]
         x[begins[:-1]] = self.moves.shape[1] - 1  # the start: to the start state, unscored
         n, width = len(x), self.moves.shape[1]
@@ -150,8 +156,10 @@ class Tree:
             if t >= self.depth:
                 np.take(logs, cell, out=out[t - self.depth])
             state = moves[cell].astype(np.int64)
-        sums = np.concatenate([[0.0], np.cumsum(out.T.ravel()[:n], dtype=np.float64)])
-        return sums[begins[1:]] - sums[begins[:-1]]
+        sums = np.cumsum(out.T.ravel()[:n], dtype=np.float64)
+        last = (symbols == BLANK) | (symbols == END)
+        last[begins[:-1]] = False
+        return np.diff(sums[last], prepend=0.0)
 
 
 def grow(pairs: list[tuple[int, int, int]], total: int, depth: int = DEPTH) -> Tree:
@@ -207,7 +215,7 @@ def grow(pairs: list[tuple[int, int, int]], total: int, depth: int = DEPTH) -> T
 def learn(counts: DataFrame, depth: int = DEPTH) -> Tree:
     """The tree of ``counted`` rows. Only contexts of the least share reach the driver: at most
     (depth + 1) / P_MIN of them, for a corpus of any size."""
-    grams = counts.where("kind = 'g'")
+    grams = counts.where("run")
     total = int(grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     least = max(LEAST_COUNT, P_MIN * total)
     # the last d + 1 symbols of each run, for every depth d
@@ -243,9 +251,12 @@ def block_words(blocked: DataFrame) -> DataFrame:
             number = batch.column("block").to_numpy()
             for value in np.unique(number):
                 where = np.flatnonzero(number == value)
-                buf, offsets = text_bytes(batch.column("text").slice(where[0], len(where)))
-                buf = lowered(buf)
-                words = np.unique(span_hashes(buf, *word_spans(buf, offsets)[:2]))
+                found = []
+                for part in chunks(iter([batch.slice(where[0], len(where))]), "text", PIECE):
+                    buf, offsets = text_bytes(part.column("text"))
+                    buf = lowered(buf)
+                    found.append(np.unique(span_hashes(buf, *word_spans(buf, offsets)[:2])))
+                words = np.unique(np.concatenate(found))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), value)), pa.array(words.view(np.int64))], names=["block", "code"])
 
     return blocked.select("block", "text").mapInArrow(run, "block long, code long")
@@ -256,7 +267,7 @@ def score(df: DataFrame, training: Column, text: str = "text", keep: tuple[str,
     from the rows for which ``training`` holds."""
     kept = list(keep)
     counts = staged(counted(df.where(training), text, depth), "lm-counts")
-    words = counts.where("kind = 'w'").select("code", "n")
+    words = counts.where("not run").select("code", "n")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end_count = (words.where(F.col("code") == int(END_WORD)).first() or (0, 0))[1]
     tree = df.sparkSession.sparkContext.broadcast(learn(counts, depth))
@@ -266,25 +277,33 @@ def score(df: DataFrame, training: Column, text: str = "text", keep: tuple[str,
     known = block_words(blocked).join(words, "code").select(F.col("block").alias("block"), "code", "n")
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
     schema = T.StructType([*[df.schema[c] for c in kept], *fields])
+    arrow_schema = to_arrow_schema(schema)
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
         code = found.column("code").to_numpy().view(np.uint64)
         order = np.argsort(code)
         code, n = code[order], found.column("n").to_numpy()[order]
-        column = rows.column("text").chunk(0) if rows.num_rows else pa.array([], pa.string())
-        buf, offsets = text_bytes(column)
-        buf = lowered(buf)
-        symbols, begins, (starts, ends, owner) = spelled(buf, offsets, 1)
-        hashes = span_hashes(buf, starts, ends)
-        at = np.minimum(np.searchsorted(code, hashes), max(0, len(code) - 1))
-        seen = code[at] == hashes if len(code) else np.zeros(len(hashes), bool)
-        c = np.where(seen, n[at], 0) if len(code) else np.zeros(len(hashes), np.int64)
-        size = rows.num_rows
-        n_tokens = np.bincount(owner, minlength=size).astype(np.int64) + 1
-        n_known = np.bincount(owner, weights=seen, minlength=size).astype(np.int64) + (end_count > 0)
-        base = np.bincount(owner, weights=np.log10(c + 1.0), minlength=size) + math.log10(end_count + 1) - norm * n_tokens
-        cols = [pa.array(n_tokens), pa.array(n_known), pa.array(np.full(size, tokens, np.int64)), pa.array(base), pa.array(tree.value.score(symbols, begins))]
-        return pa.Table.from_arrays([*[rows.column(k) for k in kept], *cols], names=schema.names)
+        out = []
+        for batch in chunks(iter(rows.combine_chunks().to_batches()), "text", PIECE):
+            buf, offsets = text_bytes(batch.column("text"))
+            buf = lowered(buf)
+            symbols, begins, (starts, ends, owner) = spelled(buf, offsets, 1)
+            hashes = span_hashes(buf, starts, ends)
+            c = np.zeros(len(hashes), np.int64)
+            if len(code):
+                at = np.minimum(np.searchsorted(code, hashes), len(code) - 1)
+                c = np.where(code[at] == hashes, n[at], 0)
+            size = batch.num_rows
+            n_tokens = np.bincount(owner, minlength=size).astype(np.int64) + 1
+            # every row's words, then its end
+            row = np.repeat(np.arange(size), n_tokens)
+            times = np.full(len(row), end_count, np.int64)
+            times[np.arange(len(owner)) + owner] = c
+            spelt = np.power(10.0, tree.value.tokens(symbols, begins))
+            model = np.log10(np.maximum(TREE_SHARE * spelt + (1 - TREE_SHARE) * times / max(1, tokens), 1e-300))
+            sums = [np.bincount(row, weights=x, minlength=size) for x in (times > 0, np.log10(times + 1.0) - norm, model)]
+            cols = [pa.array(n_tokens), pa.array(sums[0].astype(np.int64)), pa.array(np.full(size, tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+            out.append(pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], *cols], schema=arrow_schema))
+        return pa.Table.from_batches(out, schema=arrow_schema)
 
     return blocked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, schema)
