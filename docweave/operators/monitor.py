@@ -50,8 +50,8 @@ def performance(engine: Engine) -> list[dict]:
 def consistency(stored: DataFrame, truth: DataFrame, pk: str) -> DataFrame:
     """Keys that differ: missing (only in the truth), extra (only stored) or changed."""
     columns = [c for c in truth.columns if c != pk]
-    a = stored.select(F.col(pk), F.struct(*[F.col(c).cast(truth.schema[c].dataType).alias(c) for c in columns]).alias("a"))
-    b = truth.select(F.col(pk), F.struct(*columns).alias("b"))
+    a = stored.select(F.col(pk), F.struct(*columns).alias("a"))
+    b = truth.select(F.col(pk), F.struct(*[F.col(c).cast(stored.schema[c].dataType).alias(c) for c in columns]).alias("b"))
     kind = F.when(F.col("a").isNull(), "missing").when(F.col("b").isNull(), "extra").otherwise("changed")
     return a.join(b, pk, "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select(pk, kind.alias("problem"))
 
