@@ -17,7 +17,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.errors import DependencyUnresolved, DuplicateKey, EngineError, MetadataNotFound, ModelAlreadyExists, RequiredColumnMissing
+from docweave.errors import DependencyUnresolved, DuplicateKey, EngineError, LockConflict, MetadataNotFound, ModelAlreadyExists, RequiredColumnMissing
 from docweave.functions.naming import ModelSchema, checked_identifier, classify, ctas_header
 from docweave.plans import graph, lineage
 from docweave.sources.store import Files, Manifest, Versioned, workspace
@@ -256,6 +256,22 @@ class Engine:
         batch(t)
         return t.commit(batch_id)
 
+    def reload(self) -> None:
+        """The published state as it is now."""
+        self.__init__(self.spark, self.path, self.config)
+
+    def apply_retrying(self, batch: Callable[[Transaction], None], batch_id: str | None = None, tries: int = 3, wait: float = 0.01) -> dict:
+        """``apply``; after a conflict with another writer, again on its state, waiting twice as long each time."""
+        for k in range(tries):
+            try:
+                return self.apply(batch, batch_id)
+            except LockConflict:
+                if k == tries - 1:
+                    raise
+                time.sleep(wait * 2**k)
+                self.reload()
+        return {}
+
     def view(self, name: str, tables: dict[str, Versioned] | None = None) -> DataFrame:
         """The defining query, evaluated whole: the truth that the stored model must equal."""
         return lineage.bound(self.spark, self.models[name].select, self.frames(tables))

@@ -16,6 +16,7 @@ from docweave.functions.naming import type_of_name
 from docweave.operators import monitor
 from docweave.operators import workload as w
 from docweave.plans import graph
+from docweave.streaming import feed
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -377,6 +378,19 @@ def prepared_rollback(spark, sf_dir):
     return w.flat_customers(e.table("tv_customer"))
 
 
+@query(customers_sql(orders="orders_m", ctes="orders_m AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 31 = 0 THEN 'O' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 37 <> 5)"))
+def change_feed(spark, sf_dir):
+    """A feed with superseded changes, applied twice under one batch id."""
+    e = w.customers(spark, sf_dir)
+    o = e.table("orders")
+    put = o.where("o_orderkey % 31 = 0").withColumn("op", F.lit("U"))
+    feed_ = put.withColumn("o_orderstatus", F.lit("P")).withColumn("seq", F.lit(1)).unionByName(put.withColumn("o_orderstatus", F.lit("O")).withColumn("seq", F.lit(2)))
+    feed_ = feed_.unionByName(o.where("o_orderkey % 37 = 5").withColumn("op", F.lit("D")).withColumn("seq", F.lit(3)))
+    for _ in range(2):
+        feed.apply_changes(e, "orders", feed_, "seq", "7")
+    return w.flat_customers(e.table("tv_customer"))
+
+
 # introspection -----------------------------------------------------------------------------------
 
 REFERS = {"region": set(), "nation": {"region"}, "person": {"nation"}, "order": {"person"}, "item": {"order"}, "supplier": {"nation"}}
@@ -431,7 +445,7 @@ def part_docs(spark, sf_dir) -> DataFrame:
     return p.select("p_partkey", F.struct(F.col("p_name").alias("name"), F.struct(F.col("p_brand").alias("name")).alias("brand"), price.alias("price")).alias("data"))
 
 
-@query("SELECT p_partkey, round(p_retailprice, 2) AS base, round(CASE WHEN p_partkey % 10 = 0 THEN p_retailprice * 0.9 ELSE p_retailprice END, 2) AS current, CASE WHEN p_partkey % 10 = 0 THEN 10.0 ELSE 0.0 END AS discount_pct FROM part")
+@query("SELECT p_partkey, round(p_retailprice, 2) AS base, round(CASE WHEN p_partkey % 10 = 0 THEN p_retailprice * 0.9 ELSE p_retailprice END, 2) AS current, CAST(CASE WHEN p_partkey % 10 = 0 THEN 10 ELSE 0 END AS DOUBLE) AS discount_pct FROM part")
 def manual_field_patch(spark, sf_dir):
     p = part_docs(spark, sf_dir)
     cheap = F.col("p_partkey") % 10 == 0

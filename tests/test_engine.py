@@ -126,6 +126,9 @@ def test_prepared_transactions(engine, spark):
     assert_equal(other)
     with pytest.raises(LockConflict):
         engine.apply(lambda t: t.update("tb_user", "pk_user = 2", {"name": "'lost'"}))
+    assert engine.apply_retrying(lambda t: t.update("tb_user", "pk_user = 2", {"name": "'again'"}))["tv_user"]["rewritten"] == 1
+    other.reload()
+    assert other.table("tv_user").where("data.name IN ('later', 'again')").count() == 2
     other.begin().update("tb_user", "pk_user = 4", {"name": "'old'"}).prepare("g3")
     assert other.cleanup_expired(now=9e9) == 1 and other.prepared() == []
 
