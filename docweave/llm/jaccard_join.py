@@ -11,7 +11,10 @@ is inside some shingle's group of classes. Most shingles have one class and are
 *Stars.* In each group, every class is paired with the group's smallest one, the pair's overlap bound and
 overlap are checked, and components are taken. Near copies, however many, thus cost one pair each and key.
 
-*R-trees.* What is left are groups of three or more with several components. Tokens are hashed into DIMS
+*R-trees.* What is left are groups of three or more with several components. First, in
+groups over LARGE, each class is paired with its best candidate of another component only, as in
+Boruvka's spanning trees, so that large groups grow together by about as many pairs as they have
+classes; then all candidates of components that are still apart are checked. Tokens are hashed into DIMS
 groups and a set's group counts are a point; a group of classes is packed into an R-tree by size and
 coordinates, the overlap of two sets is at most the sum of the coordinate minima, and boxes or points
 whose bound is under the overlap that a link needs are skipped. Pairs of one component need no check.
@@ -47,9 +50,11 @@ WIDTH, PERCENT = 5, 80
 #: Coordinates of a count vector, points in a leaf, classes in a block of a split group.
 DIMS, LEAF, BLOCK = 256, 16, 1024
 #: Shingles of at least this share of the documents come last in the order; local counts below HOT_LOCAL are not gathered.
-HOT_SHARE, HOT_MOST, HOT_LOCAL, EPOCH = 1e-4, 4_000_000, 4, 3 << 20
+HOT_SHARE, HOT_MOST, HOT_LOCAL, EPOCH = 1e-4, 4_000_000, 4, 3 << 19
 #: Words with at least this share of all tokens have a rank above zero in the order.
 WORD_SHARE = 1e-5
+#: Groups over this take a round of best candidates first.
+LARGE = 32
 #: Bits of the map that spares texts the way to a join.
 MAP_BITS = 1 << 26
 
@@ -305,21 +310,12 @@ def bounded(pairs: DataFrame, near: DataFrame, percent: int = PERCENT) -> DataFr
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs (cls, hub) whose sets link."""
+    """Those of the pairs (cls, hub) whose sets link; the sets stay in the JVM, a pair at a time."""
     a = sets.select("cls", F.col("found").alias("fa"))
     b = sets.select(F.col("cls").alias("hub"), F.col("found").alias("fb"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for i, (x, y) in enumerate(zip(batch.column("fa"), batch.column("fb"), strict=True)):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                if shared >= least_overlap(len(x), len(y), percent):
-                    linked.append(i)
-            yield batch.select(["cls", "hub"]).take(pa.array(linked, pa.int64()))
-
-    return pairs.select("cls", "hub").join(a, "cls").join(b, "hub").select("cls", "hub", "fa", "fb").mapInArrow(run, "cls long, hub long")
+    shared = F.size(F.array_intersect("fa", "fb"))
+    both = pairs.select("cls", "hub").join(a, "cls").join(b, "hub")
+    return both.where(100 * shared >= percent * (F.size("fa") + F.size("fb") - shared)).select("cls", "hub")
 
 
 class RTree:
@@ -351,13 +347,24 @@ class RTree:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def searched(groups: DataFrame, near: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (cls, hub) of different components that the R-trees leave. ``groups``: (key, cls, comp)."""
+def search_all(asking: np.ndarray, sizes: np.ndarray, points: np.ndarray, of: np.ndarray, percent: int = PERCENT) -> list[np.ndarray]:
+    """For each asking vector the points that may link with it. A few points are one leaf, compared at once."""
+    if len(points) <= 2 * LEAF and len(asking) <= 2 * LEAF:
+        bound = np.minimum(asking[:, None, :], points[None, :, :]).sum(axis=2)
+        good = bound >= least_overlap(sizes[:, None], of[None, :], percent)
+        return [np.flatnonzero(g) for g in good]
+    tree = RTree(points, of)
+    return [tree.search(v, int(s), percent) for v, s in zip(asking, sizes, strict=True)]
+
+
+def searched(groups: DataFrame, near: DataFrame, percent: int = PERCENT, best: bool = False) -> DataFrame:
+    """Pairs (cls, hub) of different components that the R-trees leave. ``groups``: (key, cls, comp).
+    With ``best``, only groups over LARGE, and of each class there the pair with the highest bound for its need."""
     print_of = [F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("y")]
     sizes = groups.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *print_of).where("lo < hi")
     # a passage gives many keys the same classes: one of them is enough
     sizes = sizes.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m")
-    rows = groups.join(sizes, "key")
+    rows = groups.join(sizes.where(F.col("m") > LARGE) if best else sizes, "key")
     # of a group of k blocks, a class goes to the k pairs of blocks that hold its own
     k = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = rows.withColumn("k", k).withColumn("mine", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("k")).cast("int"))
@@ -373,12 +380,15 @@ def searched(groups: DataFrame, near: DataFrame, percent: int = PERCENT) -> Data
             asking, asked = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
             if not len(asking) or not len(asked):
                 continue
-            tree = RTree(vectors[asked], n[asked])
+            found = search_all(vectors[asking], n[asking], vectors[asked], n[asked], percent)
             left, right = [], []
-            for q in asking:
-                hits = asked[tree.search(vectors[q], int(n[q]), percent)]
+            for q, hits in zip(asking, found, strict=True):
+                hits = asked[hits]
                 hits = hits[comp[hits] != comp[q]]
-                if i == j:
+                if best and len(hits) > 1:
+                    spare = np.minimum(vectors[hits], vectors[q]).sum(axis=1) / least_overlap(n[hits], n[q], percent)
+                    hits = hits[[np.argmax(spare)]]
+                elif i == j and not best:
                     hits = hits[cls[hits] < cls[q]]
                 left.append(np.maximum(cls[q], cls[hits]))
                 right.append(np.minimum(cls[q], cls[hits]))
@@ -456,18 +466,20 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", percent: int =
     points = survey.where("kind = 'd' and n > 0").select("cls", "n", "vector")
     near = staged(points.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "jaccard-near")
 
-    def linked_of(pairs: DataFrame) -> DataFrame:
-        left = staged(bounded(pairs, near, percent), "jaccard-pairs")
+    def linked_of(left: DataFrame) -> DataFrame:
+        left = staged(left, "jaccard-pairs")
         named = left.select(F.explode(F.array("cls", "hub")).alias("cls")).distinct().join(classes, "cls").select("first.id", "first.th")
         sets = staged(described(held_texts(df, text, key, named)), "jaccard-sets")
         return staged(verified(left, sets, percent), "jaccard-links")
 
-    links = linked_of(stars)
+    links = linked_of(bounded(stars, near, percent))
     roots = components(links)
-    placed = runs.join(roots, "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("comp"))
-    more = linked_of(searched(placed, near, percent))
-    if more.limit(1).count():
-        roots = components(links.unionByName(more))
+    for best in (True, False):
+        placed = runs.join(roots, "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("comp"))
+        more = linked_of(searched(placed, near, percent, best))
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            roots = components(links)
 
     rooted = classes.join(roots, "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
