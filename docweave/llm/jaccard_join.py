@@ -15,7 +15,7 @@ overlap are checked, and components are taken. Near copies, however many, thus c
 groups over LARGE, each class is paired with its best candidate of another component only, as in
 Boruvka's spanning trees, so that large groups grow together by about as many pairs as they have
 classes; then all candidates of components that are still apart are checked. Tokens are hashed into DIMS
-groups and a set's group counts are a point; a group of classes is packed into an R-tree by size and
+groups (FINE times as many for sets over LONG) and a set's group counts are a point; a group of classes is packed into an R-tree by size and
 coordinates, the overlap of two sets is at most the sum of the coordinate minima, and boxes or points
 whose bound is under the overlap that a link needs are skipped. Pairs of one component need no check.
 Groups over BLOCK classes are split into pairs of blocks, so no group is one task's. Surviving pairs are
@@ -49,6 +49,8 @@ from docweave.llm.suffix_lm import summed
 WIDTH, PERCENT = 5, 80
 #: Coordinates of a count vector, points in a leaf, classes in a block of a split group.
 DIMS, LEAF, BLOCK = 256, 16, 1024
+#: Sets over this size have FINE times the coordinates: a bound over few coordinates is loose for them.
+LONG, FINE = 1024, 8
 #: Shingles of at least this share of the documents come last in the order; local counts below HOT_LOCAL are not gathered.
 HOT_SHARE, HOT_MOST, HOT_LOCAL, EPOCH = 1e-4, 4_000_000, 4, 3 << 19
 #: Words with at least this share of all tokens have a rank above zero in the order.
@@ -108,19 +110,24 @@ def signature(found: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
-def vectors_of(sets: list[np.ndarray]) -> np.ndarray:
-    """Count vectors: how many shingles of each set are hashed into each of DIMS groups."""
-    return np.stack([np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=DIMS) for s in sets]).astype(np.int32) if sets else np.zeros((0, DIMS), np.int32)
+def vector_of(found: np.ndarray) -> np.ndarray:
+    """Count vector: how many shingles are hashed into each of DIMS groups, or of the FINE parts of each for a long set."""
+    dims = DIMS * FINE if len(found) > LONG else DIMS
+    return np.bincount((found >> np.uint64(64 - dims.bit_length() + 1)).astype(np.int64), minlength=dims).astype("<i4")
 
 
-def packed(vectors: np.ndarray) -> pa.Array:
-    """Count vectors as binary values."""
-    ends = np.arange(len(vectors) + 1, dtype=np.int32) * (4 * DIMS)
-    return pa.Array.from_buffers(pa.binary(), len(vectors), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(vectors.astype("<i4").tobytes())])
+class Points:
+    """Count vectors of a column: all with DIMS coordinates, and the fine ones of long sets by row."""
 
+    def __init__(self, column: pa.Array):
+        found = [np.frombuffer(r, "<i4") for r in column.to_pylist()]
+        self.fine = {i: v for i, v in enumerate(found) if len(v) > DIMS}
+        self.all = np.stack([v if len(v) == DIMS else v.reshape(DIMS, -1).sum(axis=1, dtype=np.int32) for v in found]) if found else np.zeros((0, DIMS), np.int32)
 
-def unpacked(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(-1, DIMS)
+    def finer(self, i: int, other: Points, j: int, need: int) -> bool:
+        """Whether the bound by fine coordinates, where both have them, admits the need too."""
+        a, b = self.fine.get(i), other.fine.get(j)
+        return a is None or b is None or int(np.minimum(a, b).sum()) >= need
 
 
 def surveyed(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -154,7 +161,7 @@ def surveyed(df: DataFrame, text: str, key: str) -> DataFrame:
                 c, n = np.unique(of, return_counts=True)
                 into.append(c)
                 often.append(n.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(["d"] * len(cls), pa.string()), batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), batch.column("th"), packed(vectors_of(sets))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(["d"] * len(cls), pa.string()), batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), batch.column("th"), pa.array([vector_of(s).tobytes() for s in sets], pa.binary())], names=names)
             if sum(map(len, code)) > EPOCH:
                 yield from frequent()
         if id_arrow is not None:
@@ -301,10 +308,12 @@ def bounded(pairs: DataFrame, near: DataFrame, percent: int = PERCENT) -> DataFr
     b = near.select(F.col("cls").alias("hub"), F.col("vector").alias("vb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            va, vb = unpacked(batch.column("va")), unpacked(batch.column("vb"))
-            good = np.minimum(va, vb).sum(axis=1) >= least_overlap(va.sum(axis=1), vb.sum(axis=1), percent)
-            yield batch.select(["cls", "hub"]).filter(pa.array(good))
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
+            va, vb = Points(batch.column("va")), Points(batch.column("vb"))
+            need = least_overlap(va.all.sum(axis=1), vb.all.sum(axis=1), percent)
+            good = np.minimum(va.all, vb.all).sum(axis=1) >= need
+            good = [bool(g) and va.finer(i, vb, i, need[i]) for i, g in enumerate(good)]
+            yield batch.select(["cls", "hub"]).filter(pa.array(good, pa.bool_()))
 
     return pairs.select("cls", "hub").join(a, "cls").join(b, "hub").select("cls", "hub", "va", "vb").mapInArrow(run, "cls long, hub long")
 
@@ -375,7 +384,8 @@ def searched(groups: DataFrame, near: DataFrame, percent: int = PERCENT, best: b
         for batch in whole_groups(batches, ("key", "i", "j")):
             cls, comp, mine, n = (batch.column(x).to_numpy() for x in ("cls", "comp", "mine", "n"))
             i, j = batch.column("i")[0].as_py(), batch.column("j")[0].as_py()
-            vectors = unpacked(batch.column("vector"))
+            points = Points(batch.column("vector"))
+            vectors = points.all
             # each class of block i searches the tree of block j
             asking, asked = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
             if not len(asking) or not len(asked):
@@ -385,6 +395,8 @@ def searched(groups: DataFrame, near: DataFrame, percent: int = PERCENT, best: b
             for q, hits in zip(asking, found, strict=True):
                 hits = asked[hits]
                 hits = hits[comp[hits] != comp[q]]
+                if q in points.fine:
+                    hits = np.array([h for h in hits if points.finer(q, points, h, least_overlap(int(n[h]), int(n[q]), percent))], np.int64)
                 if best and len(hits) > 1:
                     spare = np.minimum(vectors[hits], vectors[q]).sum(axis=1) / least_overlap(n[hits], n[q], percent)
                     hits = hits[[np.argmax(spare)]]
