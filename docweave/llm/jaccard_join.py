@@ -111,16 +111,22 @@ def signature(found: np.ndarray) -> int:
 
 
 def vector_of(found: np.ndarray) -> np.ndarray:
-    """Count vector: how many shingles are hashed into each of DIMS groups, or of the FINE parts of each for a long set."""
+    """Count vector: how many shingles are hashed into each of DIMS groups, or of the FINE parts of each for a
+    long set. One byte a count where all fit, else four: the value's length tells which."""
     dims = DIMS * FINE if len(found) > LONG else DIMS
-    return np.bincount((found >> np.uint64(64 - dims.bit_length() + 1)).astype(np.int64), minlength=dims).astype("<i4")
+    counts = np.bincount((found >> np.uint64(64 - dims.bit_length() + 1)).astype(np.int64), minlength=dims)
+    return counts.astype("u1" if counts.max() < 256 else "<i4")
+
+
+def counts_of(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "u1" if len(raw) in (DIMS, DIMS * FINE) else "<i4").astype(np.int32)
 
 
 class Points:
     """Count vectors of a column: all with DIMS coordinates, and the fine ones of long sets by row."""
 
     def __init__(self, column: pa.Array):
-        found = [np.frombuffer(r, "<i4") for r in column.to_pylist()]
+        found = [counts_of(r) for r in column.to_pylist()]
         self.fine = {i: v for i, v in enumerate(found) if len(v) > DIMS}
         self.all = np.stack([v if len(v) == DIMS else v.reshape(DIMS, -1).sum(axis=1, dtype=np.int32) for v in found]) if found else np.zeros((0, DIMS), np.int32)
 
