@@ -2,17 +2,20 @@
 
 A text is the sequence of its lower-cased (A-Z) words and one end; written out, each word is its bytes
 and a blank, the end a line feed, so that a probability of the byte sequence is one of the tokens.
-The tree's contexts are byte strings of up to DEPTH symbols. Candidates are those whose share of all
-training symbols is at least P_MIN (so there are at most 1 / P_MIN a depth, whatever the corpus size);
-one stays if the divergence of its next-symbol distribution from that of its longest kept suffix,
-weighted by its count, passes GAIN, or if a kept context needs it as a prefix or suffix. Distributions
-are smoothed towards the suffix's by the number of distinct symbols seen (Witten-Bell). Scoring runs
-the tree as an automaton: the state is always the longest kept suffix of what was read.
-
-Counts cover every training text: tasks count symbol runs and words, Spark adds them up. The base score
-needs each word's count beside the texts: tasks file the distinct words of blocks of texts, the counts
-are joined to these, and block and counts meet again by the block's number, so no vocabulary is ever
-broadcast or held whole in a task.
+The tree's contexts are byte strings of up to DEPTH symbols. Candidates are those seen LEAST_COUNT times,
+whatever the corpus size; one stays if the divergence of its next-symbol distribution from that of its
+longest suffix, weighted by its count, passes LEAST_GAIN nats, or if it is part of a context that does.
+Distributions are smoothed towards the suffix's by the number of distinct symbols seen (Witten-Bell).
+A symbol's probability is that of the longest kept suffix of what was read.
+
+The tree grows with the corpus, so it is a partitioned table: level by level, runs of d + 1 symbols are
+joined to those of d. Each run of DEPTH + 1 symbols of the texts then has its probability, which blocks of
+texts fetch by a join; those of the commonest runs (CACHE) are broadcast to save shuffling them.
+
+Counts cover every training text: tasks count symbol runs and words, Spark adds them up. The scores need
+each word's count and each run's probability beside the texts: tasks file the distinct words and runs of
+blocks of texts, the tables are joined to these, and block and values meet again by the block's number, so
+no vocabulary or tree is ever broadcast or held whole in a task.
 
 Defined results: a null text is an empty one (only the end); repeated rows score alike and count each
 in training; null ids are not held out; an empty training set gives uniform symbols; an empty table
@@ -27,17 +30,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from docweave.llm.common import IS_SPACE, chunks, lowered, span_hashes, staged, text_bytes, word_spans
 
-DEPTH, P_MIN = 5, 2e-6
-#: Nats that a context must save: this share of all training symbols, and LEAST_GAIN at least.
-GAIN, LEAST_GAIN, LEAST_COUNT = 2e-7, 16.0, 4
+DEPTH = 5
+#: Nats that a context must save, and how often it must occur.
+LEAST_GAIN, LEAST_COUNT = 16.0, 4
+#: Runs whose probabilities are broadcast, the commonest ones; the others are joined.
+CACHE = 2_000_000
 BLANK, END = 0x20, 0x0A
 #: A token's probability is this share of the tree's and, for the rest, its share of the training tokens.
 TREE_SHARE = 0.8
@@ -92,8 +98,17 @@ def runs(symbols: np.ndarray, begins: np.ndarray, depth: int) -> np.ndarray:
     return code[scored[depth:]]
 
 
-def counted(df: DataFrame, text: str, depth: int = DEPTH) -> DataFrame:
-    """Corpus counts: of words (hashes, the end as END_WORD) and of runs of depth + 1 symbols (``run``)."""
+def by_training(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """The rows that train and those that don't, as far as there are any."""
+    trains = batch.column("trains")
+    for part, kind in ((batch.filter(trains), True), (batch.filter(pc.invert(trains)), False)):
+        if part.num_rows:
+            yield part, kind
+
+
+def counted(df: DataFrame, training: Column, text: str, depth: int = DEPTH) -> DataFrame:
+    """Corpus counts: of words (hashes, the end as END_WORD) and of runs of depth + 1 symbols (``run``). Runs
+    that only other texts hold count zero."""
     schema = "run boolean, code long, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,13 +121,16 @@ def counted(df: DataFrame, text: str, depth: int = DEPTH) -> DataFrame:
                 part = code[k : k + (1 << 17)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind)), pa.array(part.view(np.int64)), pa.array(n[k : k + (1 << 17)])], names=["run", "code", "n"])
 
-        for batch in chunks(batches, "text", PIECE):
+        for batch, trains in ((part, trains) for whole in chunks(batches, "text", PIECE) for part, trains in by_training(whole)):
             buf, offsets = text_bytes(batch.column("text"))
             buf = lowered(buf)
             symbols, begins, spans = spelled(buf, offsets, depth)
-            words, times = np.unique(span_hashes(buf, *spans[:2]), return_counts=True)
             grams, often = np.unique(runs(symbols, begins, depth), return_counts=True)
-            for kind, code, n in ((False, np.append(words, END_WORD), np.append(times, batch.num_rows)), (True, grams, often)):
+            found = [(True, grams, often if trains else np.zeros(len(grams)))]
+            if trains:
+                words, times = np.unique(span_hashes(buf, *spans[:2]), return_counts=True)
+                found.append((False, np.append(words, END_WORD), np.append(times, batch.num_rows)))
+            for kind, code, n in found:
                 held[kind][0].append(code)
                 held[kind][1].append(n.astype(np.int64))
                 if sum(map(len, held[kind][0])) > GATHER:
@@ -123,7 +141,7 @@ def counted(df: DataFrame, text: str, depth: int = DEPTH) -> DataFrame:
         for kind in held:
             yield from emit(kind)
 
-    parts = df.select(F.col(text).alias("text")).mapInArrow(run, schema)
+    parts = df.select(F.col(text).alias("text"), F.coalesce(training, F.lit(False)).alias("trains")).mapInArrow(run, schema)
     # equal codes of a task are added up already; dealt out before the sum, so that Spark doesn't try it again first
     return parts.repartition("run", "code").groupBy("run", "code").agg(F.sum("n").alias("n"))
 
@@ -163,7 +181,8 @@ class Tree:
 
 
 def grow(pairs: list[tuple[int, int, int]], total: int, depth: int = DEPTH) -> Tree:
-    """The tree of (context length, code of context and symbol, count) of all frequent contexts."""
+    """The tree of (context length, code of context and symbol, count) in one process: what ``probabilities``
+    is held against."""
     seen = sorted({c & 255 for d, c, _ in pairs if d == 0} | {BLANK, END})
     classes = np.full(256, len(seen), np.int16)
     classes[seen] = np.arange(len(seen))
@@ -179,7 +198,6 @@ def grow(pairs: list[tuple[int, int, int]], total: int, depth: int = DEPTH) -> T
     for d, c, n in pairs:
         if d:
             by[d].setdefault(c >> 8, []).append((c & 255, n))
-    needed = max(LEAST_GAIN, GAIN * total)
     for d in range(1, depth + 1):
         for code, found in by[d].items():
             context = code.to_bytes(d, "big")
@@ -190,7 +208,7 @@ def grow(pairs: list[tuple[int, int, int]], total: int, depth: int = DEPTH) -> T
             own = (kinds / (size + kinds) * above).astype(np.float32)
             own[cells] += (n / (size + kinds)).astype(np.float32)
             probs[context] = own
-            if (n * np.log(n / size / above[cells])).sum() >= needed:
+            if (n * np.log(n / size / above[cells])).sum() >= LEAST_GAIN:
                 for i in range(d):
                     for j in range(i + 1, d + 1):
                         kept.add(context[i:j])
@@ -212,20 +230,64 @@ def grow(pairs: list[tuple[int, int, int]], total: int, depth: int = DEPTH) -> T
     return Tree(depth, classes, moves, logs, contexts)
 
 
-def learn(counts: DataFrame, depth: int = DEPTH) -> Tree:
-    """The tree of ``counted`` rows. Only contexts of the least share reach the driver: at most
-    (depth + 1) / P_MIN of them, for a corpus of any size."""
-    grams = counts.where("run")
+def low(code: Column | str, symbols: int) -> Column:
+    """The last ``symbols`` symbols of a code."""
+    return (F.col(code) if isinstance(code, str) else code).bitwiseAND(F.lit((1 << (8 * symbols)) - 1).cast("long"))
+
+
+def probabilities(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """code, n and value of every run of depth + 1 symbols (code, n): the log10 probability of its last symbol
+    after the longest kept suffix of the others."""
     total = int(grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    least = max(LEAST_COUNT, P_MIN * total)
-    # the last d + 1 symbols of each run, for every depth d
-    masks = F.array(*[F.struct(F.lit(d).alias("d"), F.lit((1 << (8 * (d + 1))) - 1).cast("long").alias("m")) for d in range(depth + 1)])
-    each = grams.select("n", F.col("code"), F.explode(masks).alias("x")).groupBy(F.col("x.d").alias("d"), F.col("code").bitwiseAND(F.col("x.m")).alias("code")).agg(F.sum("n").alias("n"))
-    context = F.shiftright("code", 8)
-    sized = each.groupBy("d", context.alias("context")).agg(F.sum("n").alias("size"), F.collect_list(F.struct("code", "n")).alias("found"))
-    rows = sized.where((F.col("size") >= least) | (F.col("d") == 0)).select("d", F.explode("found").alias("f")).select("d", "f.code", "f.n").toArrow()
-    pairs = sorted(zip(*[rows.column(i).to_pylist() for i in range(3)], strict=True))
-    return grow(pairs, total, depth)
+    counts = [grams.groupBy(low("code", d + 1).alias("code")).agg(F.sum("n").alias("n")) for d in range(depth)] + [grams]
+    levels = [staged(counts[0].select("code", "n", ((F.col("n") + 1) / F.lit(float(total + 256))).alias("p")), "lm-level")]
+    kept = None
+    of = Window.partitionBy("context")
+    for d in range(1, depth + 1):
+        above = levels[-1].select(F.col("code").alias("up"), F.col("p").alias("above"))
+        level = counts[d].withColumn("up", low("code", d)).join(above, "up").withColumn("context", F.shiftright("code", 8))
+        level = level.withColumn("size", F.sum("n").over(of)).withColumn("kinds", F.sum((F.col("n") > 0).cast("long")).over(of))
+        saved = F.when(F.col("n") > 0, F.col("n") * F.ln(F.col("n") / F.col("size") / F.col("above"))).otherwise(0.0)
+        enough = F.col("size") >= LEAST_COUNT
+        p = F.when(enough, (F.col("n") + F.col("kinds") * F.col("above")) / (F.col("size") + F.col("kinds"))).otherwise(F.col("above"))
+        level = level.withColumn("gain", F.sum(saved).over(of))
+        levels.append(staged(level.select("code", "n", p.alias("p"), (enough & (F.col("gain") >= LEAST_GAIN)).alias("passes")), "lm-level"))
+        # a context that passes keeps all its parts
+        passing = levels[-1].where("passes").select(F.shiftright("code", 8).alias("context")).distinct()
+        parts = [F.struct(F.lit(j - i).alias("d"), low(F.shiftright("context", 8 * (d - j)), j - i).alias("context")) for i in range(d) for j in range(i + 1, d + 1)]
+        found = passing.select(F.explode(F.array(*parts)).alias("x")).select("x.d", "x.context")
+        kept = found if kept is None else kept.unionByName(found)
+    kept = staged(kept.distinct(), "lm-kept")
+    out = levels[0]
+    for d in range(1, depth + 1):
+        shorter = out.select(F.col("code").alias("up"), F.col("p").alias("shorter"))
+        own = kept.where(F.col("d") == d).select("context", F.lit(True).alias("kept"))
+        level = levels[d].withColumn("context", F.shiftright("code", 8)).join(own, "context", "left").withColumn("up", low("code", d)).join(shorter, "up")
+        out = level.select("code", "n", F.when(F.col("kept"), F.col("p")).otherwise(F.col("shorter")).alias("p"))
+    return staged(out.select("code", "n", F.log10("p").alias("value")), "lm-runs")
+
+
+def commonest(table: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The least count from which there are at most ``most`` runs, and the codes and values of these, by code."""
+    eighth = F.floor(F.log2("n") * 8)
+    least, total = 1 << 62, 0
+    for b, n, runs_ in sorted(table.where("n > 0").groupBy(eighth.alias("b")).agg(F.min("n"), F.count("*")).collect(), reverse=True):
+        total += runs_
+        if total > most:
+            break
+        least = n
+    rows = table.where(F.col("n") >= least).select("code", F.col("value").cast("float")).toArrow()
+    code = rows.column(0).to_numpy().astype(np.uint64)
+    order = np.argsort(code)
+    return least, code[order], rows.column(1).to_numpy()[order]
+
+
+def places(table: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``codes`` are in the sorted ``table``, and whether they are."""
+    if not len(table):
+        return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
+    at = np.minimum(np.searchsorted(table, codes), len(table) - 1)
+    return at, table[at] == codes
 
 
 def blocks(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -243,63 +305,88 @@ def blocks(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def block_words(blocked: DataFrame) -> DataFrame:
-    """Distinct word hashes of each block."""
+def looked_up(table: tuple[np.ndarray, np.ndarray], codes: np.ndarray, missing: float) -> np.ndarray:
+    """The values of ``codes`` in a table of sorted codes and values."""
+    at, there = places(table[0], codes)
+    out = np.full(len(codes), missing, np.float64)
+    out[there] = table[1][at[there]]
+    return out
+
+
+def block_needs(blocked: DataFrame, common: Broadcast, depth: int) -> DataFrame:
+    """Distinct word hashes of each block, and its distinct runs (``run``) that aren't among the commonest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             number = batch.column("block").to_numpy()
             for value in np.unique(number):
                 where = np.flatnonzero(number == value)
-                found = []
+                words, grams = [], []
                 for part in chunks(iter([batch.slice(where[0], len(where))]), "text", PIECE):
                     buf, offsets = text_bytes(part.column("text"))
                     buf = lowered(buf)
-                    found.append(np.unique(span_hashes(buf, *word_spans(buf, offsets)[:2])))
-                words = np.unique(np.concatenate(found))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), value)), pa.array(words.view(np.int64))], names=["block", "code"])
+                    symbols, begins, spans = spelled(buf, offsets, depth)
+                    words.append(np.unique(span_hashes(buf, *spans[:2])))
+                    found = np.unique(runs(symbols, begins, depth))
+                    grams.append(found[~places(common.value[0], found)[1]])
+                for kind, codes in ((False, words), (True, grams)):
+                    code = np.unique(np.concatenate(codes))
+                    for k in range(0, len(code), 1 << 17):
+                        some = code[k : k + (1 << 17)].view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), value)), pa.array(np.full(len(some), kind)), pa.array(some)], names=["block", "run", "code"])
 
-    return blocked.select("block", "text").mapInArrow(run, "block long, code long")
+    return blocked.select("block", "text").mapInArrow(run, "block long, run boolean, code long")
 
 
 def score(df: DataFrame, training: Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",), depth: int = DEPTH) -> DataFrame:
     """``keep`` with n_tokens, n_known, train_tokens, base_score and score; the model and the counts come
     from the rows for which ``training`` holds."""
     kept = list(keep)
-    counts = staged(counted(df.where(training), text, depth), "lm-counts")
+    counts = staged(counted(df, training, text, depth), "lm-counts")
     words = counts.where("not run").select("code", "n")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end_count = (words.where(F.col("code") == int(END_WORD)).first() or (0, 0))[1]
-    tree = df.sparkSession.sparkContext.broadcast(learn(counts, depth))
+    table = probabilities(counts.where("run").select("code", "n"), depth)
+    least, *held = commonest(table, CACHE)
+    common = df.sparkSession.sparkContext.broadcast(tuple(held))
     norm = math.log10(tokens + distinct + 1)
 
     blocked = blocks(df, text, kept)
-    known = block_words(blocked).join(words, "code").select(F.col("block").alias("block"), "code", "n")
+    values = words.select(F.lit(False).alias("run"), "code", F.col("n").cast("double").alias("value"))
+    values = values.unionByName(table.where(F.col("n") < least).select(F.lit(True).alias("run"), "code", "value"))
+    known = block_needs(blocked, common, depth).join(values, ["run", "code"]).select("block", "run", "code", "value")
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
     schema = T.StructType([*[df.schema[c] for c in kept], *fields])
     arrow_schema = to_arrow_schema(schema)
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
-        code = found.column("code").to_numpy().view(np.uint64)
-        order = np.argsort(code)
-        code, n = code[order], found.column("n").to_numpy()[order]
+        kind, codes, numbers = (found.column(c).to_numpy() for c in ("run", "code", "value"))
+        lookup = []
+        for one in (~kind, kind):
+            code, value = codes[one].view(np.uint64), numbers[one]
+            order = np.argsort(code)
+            lookup.append((code[order], value[order]))
         out = []
         for batch in chunks(iter(rows.combine_chunks().to_batches()), "text", PIECE):
             buf, offsets = text_bytes(batch.column("text"))
             buf = lowered(buf)
-            symbols, begins, (starts, ends, owner) = spelled(buf, offsets, 1)
-            hashes = span_hashes(buf, starts, ends)
-            c = np.zeros(len(hashes), np.int64)
-            if len(code):
-                at = np.minimum(np.searchsorted(code, hashes), len(code) - 1)
-                c = np.where(code[at] == hashes, n[at], 0)
+            symbols, begins, (starts, ends, owner) = spelled(buf, offsets, depth)
+            c = looked_up(lookup[0], span_hashes(buf, starts, ends), 0).astype(np.int64)
             size = batch.num_rows
             n_tokens = np.bincount(owner, minlength=size).astype(np.int64) + 1
             # every row's words, then its end
             row = np.repeat(np.arange(size), n_tokens)
             times = np.full(len(row), end_count, np.int64)
             times[np.arange(len(owner)) + owner] = c
-            spelt = np.power(10.0, tree.value.tokens(symbols, begins))
+            grams, where = np.unique(runs(symbols, begins, depth), return_inverse=True)
+            logs = looked_up(common.value, grams, np.nan)
+            rare = np.isnan(logs)
+            logs[rare] = looked_up(lookup[1], grams[rare], np.nan)
+            if np.isnan(logs).any():
+                raise ValueError("a run without a probability")
+            # a run's last symbol: a token is its word's bytes with a blank, or the end
+            last = (grams & np.uint64(255))[where]
+            spelt = np.power(10.0, np.diff(np.cumsum(logs[where])[(last == BLANK) | (last == END)], prepend=0.0))
             model = np.log10(np.maximum(TREE_SHARE * spelt + (1 - TREE_SHARE) * times / max(1, tokens), 1e-300))
             sums = [np.bincount(row, weights=x, minlength=size) for x in (times > 0, np.log10(times + 1.0) - norm, model)]
             cols = [pa.array(n_tokens), pa.array(sums[0].astype(np.int64)), pa.array(np.full(size, tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])]

@@ -134,6 +134,43 @@ def test_automaton_follows_the_longest_suffix():
     assert np.allclose(got, want, atol=1e-4)
 
 
+def test_tree_table_equals_the_tree_and_keeps_rare_contexts(spark, monkeypatch):
+    """Joined levels against the tree of one process; a context of a few occurrences stays in a corpus of any size."""
+    r = random.Random(6)
+    texts = [prose(r, 150, "abc") + (" qzq" * 4 if i == 3 else "") for i in range(20)]
+    monkeypatch.setattr(suffix_lm, "LEAST_GAIN", 4.0)
+    buf, offsets = text_bytes(pa.array(texts))
+    symbols, begins, _ = suffix_lm.spelled(buf, offsets, 3)
+    counts = Counter(suffix_lm.runs(symbols, begins, 3).tolist())
+    other, at, _ = suffix_lm.spelled(*text_bytes(pa.array(["zz a", "cab qz"])), 3)
+    unseen = set(suffix_lm.runs(other, at, 3).tolist()) - counts.keys()
+    for times in (1, 1000):
+        frequent = {c: k * (times if ord("q") not in c.to_bytes(4, "big") else 1) for c, k in counts.items()}
+        pairs, sizes = Counter(), Counter()
+        for c, k in frequent.items():
+            for d in range(4):
+                pairs[(d, c & ((1 << 8 * (d + 1)) - 1))] += k
+                sizes[(d, (c & ((1 << 8 * (d + 1)) - 1)) >> 8)] += k
+        tree = suffix_lm.grow([(d, c, k) for (d, c), k in pairs.items() if d == 0 or sizes[(d, c >> 8)] >= suffix_lm.LEAST_COUNT], sum(frequent.values()), 3)
+        assert b"q" in tree.contexts
+        number = {c: i for i, c in enumerate(tree.contexts)}
+        rows = suffix_lm.probabilities(spark.createDataFrame([*frequent.items(), *((c, 0) for c in unseen)], "code long, n long"), 3).collect()
+        assert {x.code for x in rows} == frequent.keys() | unseen
+        for x in rows:
+            b = x.code.to_bytes(4, "big")
+            state = next(number[b[i:3]] for i in range(4) if b[i:3] in number)
+            assert math.isclose(x.value, tree.logs[state, tree.classes[b[3]]], abs_tol=1e-4)
+
+
+def test_scores_do_not_depend_on_the_broadcast(docs, monkeypatch):
+    def scores():
+        return Counter((r.doc_id, r.n_tokens, round(r.score, 3)) for r in suffix_lm.score(docs, F.coalesce(F.col("doc_id") % 5 > 0, F.lit(False))).collect())
+
+    all_broadcast = scores()
+    monkeypatch.setattr(suffix_lm, "CACHE", 50)
+    assert scores() == all_broadcast
+
+
 # 4 -----------------------------------------------------------------------------------------------
 
 
