@@ -39,9 +39,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from docweave.llm.common import IS_SPACE, chunks, lowered, span_hashes, staged, text_bytes, word_spans
 
-DEPTH = 5
+DEPTH = 6
 #: Nats that a context must save, and how often it must occur.
-LEAST_GAIN, LEAST_COUNT = 16.0, 4
+LEAST_GAIN, LEAST_COUNT = 4.0, 4
 #: Runs whose probabilities are broadcast, the commonest ones; the others are joined.
 CACHE = 2_000_000
 BLANK, END = 0x20, 0x0A
@@ -50,7 +50,7 @@ TREE_SHARE = 0.8
 #: The hash that stands for the end token among words.
 END_WORD = np.uint64(0x454E44)
 #: Bytes of text in a block; entries that a task gathers before it adds equal ones up; bytes of text worked on at once.
-BLOCK, GATHER, PIECE = 6 << 20, 2 << 20, 1 << 20
+BLOCK, GATHER, PIECE = 6 << 20, 4 << 20, 1 << 20
 #: Symbols that a lane of the automaton reads.
 SEGMENT = 256
 

@@ -162,6 +162,16 @@ def test_tree_table_equals_the_tree_and_keeps_rare_contexts(spark, monkeypatch):
             assert math.isclose(x.value, tree.logs[state, tree.classes[b[3]]], abs_tol=1e-4)
 
 
+def test_contexts_of_six_symbols_that_save_little(spark):
+    """Only the sixth symbol back tells what follows, in ten occurrences (7 nats)."""
+    text = " ".join(["pabcdex", "qabcdey"] * 10)
+    symbols, begins, _ = suffix_lm.spelled(*text_bytes(pa.array([text])), suffix_lm.DEPTH)
+    counts = Counter(suffix_lm.runs(symbols, begins, suffix_lm.DEPTH).tolist())
+    rows = suffix_lm.probabilities(spark.createDataFrame(list(counts.items()), "code long, n long")).collect()
+    ends = [x.value for x in rows if x.code.to_bytes(8, "big").endswith((b"abcdex", b"abcdey"))]
+    assert len(ends) == 2 and min(ends) > math.log10(0.9)
+
+
 def test_scores_do_not_depend_on_the_broadcast(docs, monkeypatch):
     def scores():
         return Counter((r.doc_id, r.n_tokens, round(r.score, 3)) for r in suffix_lm.score(docs, F.coalesce(F.col("doc_id") % 5 > 0, F.lit(False))).collect())
