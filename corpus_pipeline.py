@@ -3,7 +3,7 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; ``run`` writes each
 stage's rows as Parquet in the shared folder and reads them back. All but the last keep the columns of
 ``documents``. A document goes where the classifier scores it below the threshold, where no language is
-found or its pooled probability is under LANGUAGE_SURE, or where it isn't the first of its component.
+found, or where it isn't the first of its component.
 """
 
 from __future__ import annotations
@@ -15,9 +15,6 @@ from docweave.llm import jaccard_join, langid, packing, quality_rank
 from docweave.llm.common import fold, read_table, staged
 from docweave.llm.queries import tokenizer_file
 
-#: The least pooled probability of a document's language.
-LANGUAGE_SURE = 0.5
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_rank.train(docs, read_table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
@@ -27,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = langid.train(docs, fold("doc_id", 4) != 2)
     found = langid.predict(docs, net, keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SURE)).select(*docs.columns)
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,14 @@ def test_stages(stages):
     assert max(r[1] for r in packed.groupBy("sequence_id").sum("length").collect()) <= 1024
 
 
+def test_language_stage_drops_only_unknown_languages(spark, monkeypatch):
+    rows = [(1, "en", 0.9), (2, "de", 0.3), (3, "und", 0.0)]
+    monkeypatch.setattr(corpus_pipeline.langid, "train", lambda *_: None)
+    monkeypatch.setattr(corpus_pipeline.langid, "predict", lambda docs, net, keep: docs.join(spark.createDataFrame(rows, "doc_id long, lang_pred string, score double"), "doc_id"))
+    docs = spark.createDataFrame([(i, "x") for i, *_ in rows], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, SF).collect()} == {1, 2}
+
+
 def test_url_query_equals_its_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
