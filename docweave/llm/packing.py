@@ -6,11 +6,14 @@ the pieces of a bounded group of windows are partitioned by largest differencing
 partitions with the largest spread are merged with opposing imbalances until one is left. If a window
 then exceeds the capacity, the window count rises and the group is partitioned again.
 
+Ids are those of the tokenizers library with its default flags: the literal of an added token in a text,
+such as ``<|endoftext|>``, has that token's own id. Texts that hold one are encoded by the library itself.
+
 Defined results: a null text is an empty text (only the end id); null or repeated ids pass through;
 equal rows are packed separately; an empty table gives an empty result; extra columns are ignored.
-A very long text is cut like any other. Memory is bounded by the group (GROUP windows), not by texts
-or partitions; sequence ids come from the partition number and a counter, so a retried task gives the
-same ids.
+A very long text is cut like any other; beside the text in hand, memory is bounded by the group (GROUP
+windows), not by texts or partitions. Sequence ids come from the partition number and a counter, so a
+retried task gives the same ids.
 """
 
 from __future__ import annotations
@@ -51,12 +54,14 @@ def byte_symbols() -> dict[str, int]:
 
 class ByteTokenizer:
     """Ids as the tokenizers library gives them for this vocabulary file. A text is cut into units that the
-    pre-tokenizer never crosses; distinct units are merged once, in one call for a batch, and kept in a bounded cache."""
+    pre-tokenizer never crosses; distinct units are merged once, in one call for a batch, and kept in a bounded cache.
+    A text with the literal of an added token goes to the library."""
 
     CACHE = 400_000
 
     def __init__(self, path: str):
         import tiktoken
+        from tokenizers import Tokenizer
 
         model = json.loads(Path(path).read_text())
         symbols = byte_symbols()
@@ -65,10 +70,13 @@ class ByteTokenizer:
         self.merges = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.feed = self.merges.encode_ordinary("\n")[0]
         self.cache: dict[str, bytes] = {}
+        self.library = Tokenizer.from_file(str(path))
+        self.added = re.compile("|".join(map(re.escape, sorted(added)))) if added else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers."""
-        split = [_UNITS.findall(t) for t in texts]
+        special = {i for i, t in enumerate(texts) if self.added is not None and self.added.search(t)}
+        split = [[] if i in special else _UNITS.findall(t) for i, t in enumerate(texts)]
         if len(self.cache) > self.CACHE:
             self.cache.clear()
         cache = self.cache
@@ -85,7 +93,10 @@ class ByteTokenizer:
                 cache[u] = ids[at[i] + 1 : at[i + 1]].tobytes()
         for u in spaces:
             cache[u] = np.array(self.merges.encode_ordinary(u), "<u4").tobytes()
-        return [b"".join([cache[u] for u in units]) for units in split]
+        out = [b"".join([cache[u] for u in units]) for units in split]
+        for i in special:
+            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 @functools.lru_cache(maxsize=4)
@@ -160,7 +171,7 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", capa
         end = np.array([end_id], "<u4").tobytes()
         base = TaskContext.get().partitionId() << SHIFT
         made = 0
-        pending: list[tuple] = []  # key, ids, start, length, tokens of its document
+        pending: list[tuple] = []  # key, its ids, start, length, tokens of its document
         waiting = seen = 0
         rows: list[tuple] = []
         key_type = None
@@ -171,7 +182,7 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", capa
                 offset = 0
                 for i in part:
                     k, ids, start, length, total = group[i]
-                    rows.append((k, start, length, total, base + made, offset, ids[4 * start : 4 * (start + length)]))
+                    rows.append((k, start, length, total, base + made, offset, ids))
                     offset += length
                 made += 1
 
@@ -192,7 +203,7 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", capa
                     made += 1
                 start = total - total % capacity
                 for length in cuts(total - start, seen, capacity):
-                    pending.append((k, ids, start, length, total))
+                    pending.append((k, ids[4 * start : 4 * (start + length)], start, length, total))
                     start += length
                     waiting += length
                 seen += 1

@@ -320,7 +320,6 @@ def test_packing(docs, corpus):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     pieces = packing.pack(docs, path).collect()
     whole, seqs, by = Counter(), {}, {}
     for p in pieces:
@@ -348,6 +347,20 @@ def test_packing(docs, corpus):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_ids_equal_the_library():
+    """Default flags: literals of added tokens have their own id, wherever they stand."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, r = Tokenizer.from_file(path), random.Random(12)
+    bits = ["<|endoftext|>", "<|endoftext", "|>", " ", "\n", "  ", "word", "é", "'s", "12", "日本", "\u2003", "!?", "\r\n", "\x00", "a<|", "\u0085"]
+    texts = ["", "<|endoftext|>", "<|endoftext|><|endoftext|> x", *("".join(r.choice(bits) for _ in range(r.randint(1, 12))) for _ in range(3000))]
+    assert packing.ByteTokenizer(path).encode(["<|endoftext|>"]) == [np.array([50256], "<u4").tobytes()]
+    ours = packing.ByteTokenizer(path).encode(texts)
+    for t, ids in zip(texts, ours, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+
+
 # 9 -----------------------------------------------------------------------------------------------
 
 
