@@ -32,10 +32,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session; a temporary one is
-    set only where the session has none, as in local tests."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Where it is unset, a local
+    session gets a temporary one; a cluster is refused, as executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,7 +48,23 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of ``staged`` tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, whatever its case rule."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"{stem}{k or ''}" for k in range(len(taken) + 1)) if n.lower() not in taken)
 
 
 def fold(id_col: str | Column, n: int) -> Column:
@@ -54,6 +72,11 @@ def fold(id_col: str | Column, n: int) -> Column:
     return F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string")) % n
 
 
+def held_out(id_col: str, n: int, remainder: int) -> Column:
+    """Whether a row is held out by its id's fold; a row without an id is not."""
+    return F.coalesce(fold(id_col, n) == remainder, F.lit(False))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Splits batches so that ``column`` holds about ``most`` bytes at once."""
     for batch in batches:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import chunks, lowered, mix, shingle_hashes, span_hashes, staged, text_bytes, word_spans
+from docweave.llm.common import chunks, free_name, lowered, mix, shingle_hashes, span_hashes, staged, text_bytes, word_spans
 from docweave.llm.suffix_lm import summed
 
 #: Words in a shingle; the similarity of a link in hundredths.
@@ -517,8 +517,9 @@ def first_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", percen
     each = rows.select("id", "th", F.lit(0).alias("first")).union(firsts).groupBy("id", "th").agg(F.max("first").alias("first"), (F.count("*") - F.sum("first")).alias("n"))
     unsure = staged(each.where("first = 0 or n > 1"), "jaccard-unsure")
     bits = bit_map(unsure)
-    source = df.withColumn("_th", F.xxhash64(text))
-    moved = mapped(source, "_th", bits, True)
-    gone = unsure.where("first = 0").select(F.col("id").alias("_id"), F.col("th").alias("_oth"))
-    stays = moved.join(gone, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_oth")), "left_anti").dropDuplicates([key, "_th"])
-    return mapped(source, "_th", bits, False).unionByName(stays).drop("_th")
+    th, gone_id, gone_th = (free_name(df, x) for x in ("th_", "gone_id_", "gone_th_"))
+    source = df.withColumn(th, F.xxhash64(text))
+    moved = mapped(source, th, bits, True)
+    gone = unsure.where("first = 0").select(F.col("id").alias(gone_id), F.col("th").alias(gone_th))
+    stays = moved.join(gone, F.col(key).eqNullSafe(F.col(gone_id)) & (F.col(th) == F.col(gone_th)), "left_anti").dropDuplicates([key, th])
+    return mapped(source, th, bits, False).unionByName(stays).drop(th)

@@ -7,8 +7,9 @@ with Adam on windows of a bounded sample of labelled rows (TRAIN_ROWS rows by ha
 WINDOWS_A_ROW windows each); prediction reads every byte of every text, in one pass without a shuffle.
 
 Null texts and texts without a letter are ``und`` with score 0. Repeated rows are labelled alike; null
-ids pass through; an empty table gives an empty result; without labelled rows every text is ``und``;
-extra columns are ignored. Memory is bounded by a chunk of texts or one long text.
+ids pass through and train nothing; an id that many rows have counts with ROWS_AN_ID of them at most in
+training; an empty table gives an empty result; without labelled rows every text is ``und``; extra columns
+are ignored, and kept ones may have any name but those of the two results. Memory is bounded by a chunk of texts or one long text.
 """
 
 from __future__ import annotations
@@ -17,15 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import chunks, text_bytes
+from docweave.llm.common import chunks, free_name, text_bytes
 
 WINDOW, HIDDEN = 64, 8
 #: Bounds of the training sample, and its passes.
 TRAIN_ROWS, WINDOWS_A_ROW, STEPS, BATCH = 3_000, 3, 160, 192
+#: Rows of one id that train, so that a repeated id cannot fill the driver.
+ROWS_AN_ID = 4
 #: Windows labelled at once: their states stay in the processor's cache.
 LANES = 2048
 UNKNOWN = "und"
@@ -185,7 +188,7 @@ class Network:
         return sums / np.maximum(1, sizes)[:, None]
 
 
-def windows_of(df: DataFrame, text: str, lang: str) -> DataFrame:
+def windows_of(df: DataFrame, text: str, lang: str, key: str) -> DataFrame:
     """Up to WINDOWS_A_ROW windows of each row, evenly spread, as binary with the row's label."""
     schema = T.StructType([T.StructField("window", T.BinaryType()), T.StructField("lang", T.StringType()), T.StructField("key", T.LongType())])
 
@@ -199,14 +202,16 @@ def windows_of(df: DataFrame, text: str, lang: str) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.string(), pa.int64()), strict=True)], names=schema.names)
 
-    return df.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(*df.columns).alias("key")).where("length(text) > 0").mapInArrow(run, schema)
+    of_id = Window.partitionBy(key).orderBy(F.xxhash64(text, lang), lang)
+    few = df.where(F.length(text) > 0).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(key, text, lang).alias("key"), F.row_number().over(of_id).alias("place"))
+    return few.where(F.col("place") <= ROWS_AN_ID).select("text", "lang", "key").mapInArrow(run, schema)
 
 
 def train(df: DataFrame, where: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", most: int = TRAIN_ROWS) -> Network:
     """The network of at most ``most`` labelled rows for which ``where`` (over ``key``) holds."""
     marked = df.where(where & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(key).distinct().orderBy(F.xxhash64(key), key).limit(most)
     # at most ``most`` ids: small whatever the table's size
-    rows = windows_of(df.select(key, text, lang).where(F.col(lang).isNotNull()).join(F.broadcast(marked), key), text, lang).collect()
+    rows = windows_of(df.select(key, text, lang).where(F.col(lang).isNotNull()).join(F.broadcast(marked), key), text, lang, key).collect()
     rows = sorted((r[2], bytes(r[0]), r[1]) for r in rows)
     langs = sorted({r[2] for r in rows})
     net = Network(langs)
@@ -228,11 +233,11 @@ def has_letter(buf: np.ndarray, offsets: np.ndarray, column: pa.Array) -> np.nda
     return found
 
 
-def predict(df: DataFrame, net: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` with lang_pred and score, the pooled probability of that language."""
+def predict(df: DataFrame, net: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` with lang_pred and score, the pooled probability of that language, under ``names``."""
     kept = list(keep)
-    read = text if text in kept else "_text"  # the text is carried once
-    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    read = text if text in kept else free_name(df, "text_")  # the text is carried once
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, read):
@@ -247,4 +252,4 @@ def predict(df: DataFrame, net: Network, text: str = "text", keep: tuple[str, ..
                 score = np.where(known, np.clip(p.max(axis=1), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
-    return df.select(*kept, *([] if text in kept else [F.col(text).alias("_text")])).mapInArrow(run, schema)
+    return df.select(*kept, *([] if text in kept else [F.col(text).alias(read)])).mapInArrow(run, schema)

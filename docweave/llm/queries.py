@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import html_extract, jaccard_join, langid, media, packing, piece_bpe, quality_rank, quality_rules, suffix_lm, url_filter
-from docweave.llm.common import fold, read_table
+from docweave.llm.common import held_out, read_table
 
 
 def tokenizer_file(name: str) -> str:
@@ -35,7 +35,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    held = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
+    held = held_out("doc_id", 7, 2)
     out = suffix_lm.score(docs.select("doc_id", "text"), ~held)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -93,8 +93,8 @@ FROM c
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    net = langid.train(docs, fold("doc_id", 4) != 2)
-    return langid.predict(docs, net).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    net = langid.train(docs, ~held_out("doc_id", 4, 2))
+    return langid.predict(docs, net).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +103,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    model = quality_rank.train(docs, read_table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
-    return quality_rank.score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    model = quality_rank.train(docs, read_table(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1))
+    return quality_rank.score(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,13 @@ candidate rules, and only those run their expression. Built-in functions only: n
 Rules come in two layers. Address rules (host and path) decide first, the longest one wins (ties: the
 smaller name). Where none fits, pattern rules decide: an allowing one beats a blocking one; without any
 the default verdict holds. Up to LITERAL_RULES rules the index is a literal in the plan and no row
-moves; beyond, the distinct urls are joined to the index on the token (a shuffle, no broadcast).
+moves; beyond, the index is a table: tokens that it doesn't have are dropped by a broadcast set of its
+tokens while there are at most BROADCAST_TOKENS of them, and what is left of the distinct urls meets it
+on the token and a salt, so that a token which every url has is not one task's.
 
 A null url, or one without ``://``, has an empty host and path and gets the default verdict unless a
 rule without tokens matches the empty address. Repeated rows are judged alike; extra columns are kept
-by ``judge`` (names of its own output columns must be free) and very long urls need no other rule.
+by ``judge`` (but for host, path, rule and verdict, which are its own) and very long urls need no other rule.
 """
 
 from __future__ import annotations
@@ -25,7 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.llm.common import free_name
+
 LITERAL_RULES = 2_000
+#: Tokens of a large index that are broadcast (about 20 bytes each), and shares that a token's urls are dealt to.
+BROADCAST_TOKENS, SALTS = 1_000_000, 64
 _TOKEN = "[a-z0-9]+"
 
 
@@ -71,6 +77,11 @@ def address(url: Column) -> tuple[Column, Column, Column]:
     return host, F.regexp_extract(after, "^[^/?#]*([^?#]*)", 1), F.concat(host, F.regexp_extract(after, "^[^/?#]*([\\s\\S]*)", 1))
 
 
+def tokens_of(subject: str) -> Column:
+    """The distinct tokens of an address, with the empty one."""
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(F.lower(subject), F.lit(_TOKEN), F.lit(0))))
+
+
 _RULE = "struct<name:string,verdict:string,pattern:string,layer:int>"
 
 
@@ -87,29 +98,36 @@ def best(matches: Column) -> Column:
 
 def judge(df: DataFrame, rules: Sequence[Rule], url: str = "url", default: str = "allow") -> DataFrame:
     """``df`` with host, path, rule (of an address rule, else null) and verdict."""
-    host, path, subject = address(F.col(url))
-    df = df.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit("")), "_subject": F.coalesce(subject, F.lit(""))})
-    tokens = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(F.lower("_subject"), F.lit(_TOKEN), F.lit(0))))
+    host, path, whole = address(F.col(url))
+    subject = free_name(df, "subject_")
+    df = df.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit("")), subject: F.coalesce(whole, F.lit(""))})
+    decided = free_name(df, "best_")
+    tokens = tokens_of(subject)
     filed = index(rules)
     if not rules:
-        decided = df.withColumn("_best", F.lit(None).cast(_RULE))
+        df = df.withColumn(decided, F.lit(None).cast(_RULE))
     elif len(rules) <= LITERAL_RULES:
         table = F.create_map(*[x for t, rs in filed.items() for x in (F.lit(t), F.array(*[literal(r) for r in rs]))])
         keys = F.array(*[F.lit(t) for t in filed])
         # only tokens that the index has are looked up
         fetched = F.flatten(F.transform(F.array_intersect(tokens, keys), lambda t: F.element_at(table, t)))
-        decided = df.withColumn("_found", fetched).withColumn("_best", best(F.filter("_found", lambda r: F.regexp(F.col("_subject"), r["pattern"]))))
+        found = free_name(df, "found_")
+        df = df.withColumn(found, fetched).withColumn(decided, best(F.filter(found, lambda r: F.regexp(F.col(subject), r["pattern"])))).drop(found)
     else:
         spark = df.sparkSession
         rows = [(t, r.name, r.verdict, r.pattern, r.layer) for t, rs in filed.items() for r in rs]
         table = spark.createDataFrame(rows, "token string, name string, verdict string, pattern string, layer int")
-        subjects = df.select("_subject").distinct()
-        found = subjects.select("_subject", F.explode(tokens).alias("token")).join(table.hint("merge"), "token").where("regexp_like(_subject, pattern)")
-        decided_subjects = found.groupBy("_subject").agg(best(F.collect_set(F.struct("name", "verdict", "pattern", "layer"))).alias("_best"))
-        decided = df.join(decided_subjects, "_subject", "left")
-    return decided.withColumns(
-        {"rule": F.when(F.col("_best.layer") == 0, F.col("_best.name")).cast(T.StringType()), "verdict": F.coalesce("_best.verdict", F.lit(default))}
-    ).drop("_subject", "_found", "_best")
+        subjects = df.select(F.col(subject).alias("subject")).distinct()
+        mine = subjects.select("subject", F.explode(tokens_of("subject")).alias("token"))
+        if len(filed) <= BROADCAST_TOKENS:
+            mine = mine.join(F.broadcast(table.select("token").distinct()), "token", "left_semi")
+        mine = mine.withColumn("salt", F.pmod(F.xxhash64("subject"), F.lit(SALTS)))
+        salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        found = mine.join(salted.hint("merge"), ["token", "salt"]).where("regexp_like(subject, pattern)")
+        made = found.groupBy("subject").agg(best(F.collect_set(F.struct("name", "verdict", "pattern", "layer"))).alias(decided)).withColumnRenamed("subject", subject)
+        df = df.join(made, subject, "left")
+    of = lambda name: F.col(f"`{decided}`.{name}")
+    return df.withColumns({"rule": F.when(of("layer") == 0, of("name")).cast(T.StringType()), "verdict": F.coalesce(of("verdict"), F.lit(default))}).drop(subject, decided)
 
 
 def literal(r: Rule) -> Column:
