@@ -8,9 +8,11 @@ is kept under a dropped one, so ancestors and descendants never contradict each
 
 Text of a kept node: character references decoded, white space inside a block as one space, trimmed,
 blocks joined in page order by one space. Null and empty pages give an empty text; text without any
-markup is kept whole; unclosed or misplaced tags are repaired; repeated rows, null ids and null urls
-pass through; an empty table gives an empty result; very long and deeply nested pages need time and
-memory in proportion to their length. One pass without a shuffle; extra columns are ignored.
+markup is kept whole; unclosed or misplaced tags are repaired; a comment or tag that never ends is markup
+up to the page's end; controls and fallback content (SKIPPED) have no text. Repeated rows, null ids and
+null urls pass through; an empty table gives an empty result; very long and deeply nested pages need time
+and memory in proportion to their length, a few hundred bytes a node: feature rows are made in blocks.
+One pass without a shuffle; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,17 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from docweave.llm.common import chunks
+from docweave.llm.common import chunks, free_name
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>""", re.S
 )
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_OPENING = re.compile(r"<(?:[a-zA-Z]|/[a-zA-Z]|[!?])")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template svg iframe object canvas math head title textarea select video audio".split())
+#: Elements whose text is no text of the page, with all that they hold.
+SKIPPED = frozenset("object select datalist button head audio".split())
+#: What a head may hold; anything else ends it.
+OF_HEAD = frozenset("title meta link base style script noscript template".split())
 #: Elements whose text is skipped to the end tag, whatever it holds.
 RAW = frozenset("script style noscript template svg iframe canvas math title textarea video audio".split())
 #: An opening tag ends an open element of these.
@@ -59,9 +65,13 @@ CUES = {
     "notice": "cookie cookies consent gdpr notice alert popup modal overlay banner message warning privacy paywall".split(),
     "content": "content article post entry story main body text page blog news maincontent prose".split(),
 }
+# Words of legal lines, consent boxes, letters and adverts.
+PHRASES = frozenset("© copyright rights reserved cookie cookies consent privacy terms imprint impressum datenschutz subscribe newsletter login sponsored advertisement".split())
 _CUE_OF = {w: k for k, (_, ws) in reversed(list(enumerate(CUES.items()))) for w in ws}
-BUCKETS = 8
-COLUMNS = len(TAGS) + 1 + 2 * len(CUES) + BUCKETS + 24
+BUCKETS = 32
+#: Feature rows made at once.
+ROWS = 1 << 14
+COLUMNS = len(TAGS) + 1 + 2 * len(CUES) + BUCKETS + 25
 
 
 class Page:
@@ -79,7 +89,7 @@ class Page:
         stack, names = [0], {}
         pieces: list[str] = []
         anchors = linked = 0
-        at = 0
+        at = muted = 0
         last = source.rfind(">")
 
         def flush() -> None:
@@ -89,14 +99,17 @@ class Page:
                 if "&" in text:
                     text = html.unescape(text)
                 text = " ".join(text.split())
-                if text:
+                if text and not muted:
                     self.runs.append((stack[-1], text, min(linked, len(text))))
                 pieces.clear()
             linked = 0
 
         def close(n: int) -> None:
+            nonlocal muted
             while len(stack) > n:
-                names[self.tag[stack.pop()]] -= 1
+                name = self.tag[stack.pop()]
+                names[name] -= 1
+                muted -= name in SKIPPED
 
         skip_to = None
         for m in _TAG.finditer(source, 0, last + 1):
@@ -116,6 +129,9 @@ class Page:
             at = m.end()
             name = m[2] or m[5]
             if name is None:
+                if source.startswith("<!--", begin) and not (source.endswith("-->", begin + 4, at) or at - begin < 7 and source.startswith(("<!-->", "<!--->"), begin)):
+                    at = len(source)  # a comment without an end
+                    break
                 continue
             name = name.lower()
             if m[1] or m[4]:
@@ -138,6 +154,9 @@ class Page:
                 elif name == "br":
                     pieces.append(" ")
                 continue
+            if names.get("head") and name not in OF_HEAD:
+                flush()
+                close(max(i for i, n in enumerate(stack) if self.tag[n] == "head"))
             if name in RAW:
                 if not given.endswith("/"):
                     skip_to = name
@@ -168,16 +187,19 @@ class Page:
             if name not in VOID and not given.endswith("/"):
                 stack.append(node)
                 names[name] = names.get(name, 0) + 1
+                muted += name in SKIPPED
         if skip_to is None and at < len(source):
-            pieces.append(source[at:])
+            # no tag ends behind the last ">": what opens there is markup
+            cut = _OPENING.search(source, max(at, last + 1))
+            pieces.append(source[at : cut.start() if cut else len(source)])
         flush()
 
 
 @functools.lru_cache(maxsize=1 << 15)
-def attribute_cues(given: str) -> tuple[tuple[int, ...], int, bool]:
-    """Cue counts of an attribute string, a hash bucket of its tokens (-1: none), and whether it hides the element."""
+def attribute_cues(given: str) -> tuple[tuple[int, ...], tuple[int, ...], bool]:
+    """Cue counts of an attribute string, the hashed column of each of its tokens, and whether it hides the element."""
     cues = [0] * len(CUES)
-    hidden, bucket = False, -1
+    hidden, hashed = False, set()
     for name, a, b, c in _ATTRIBUTE.findall(given):
         name, value = name.lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
@@ -187,74 +209,95 @@ def attribute_cues(given: str) -> tuple[tuple[int, ...], int, bool]:
                 token = token.lower()
                 if token in _CUE_OF:
                     cues[_CUE_OF[token]] += 1
-                bucket = zlib.crc32(token.encode()) % BUCKETS
-    return tuple(cues), bucket, hidden
+                hashed.add(zlib.crc32(token.encode()) % BUCKETS)
+    return tuple(cues), tuple(sorted(hashed)), hidden
+
+
+class Features:
+    """Features of a page's nodes, held by column; ``rows`` makes them into a matrix of COLUMNS columns."""
+
+    def __init__(self, page: Page):
+        n = self.n = len(page.tag)
+        parent = np.array(page.parent)
+        text, link, runs, marks, own, words, usual = (np.zeros(n) for _ in range(7))
+        for node, run, linked in page.runs:
+            text[node] += len(run)
+            own[node] += len(run)
+            link[node] += linked
+            runs[node] += 1
+            words[node] += run.count(" ") + 1
+            marks[node] += run.count(".") + run.count(",")
+            usual[node] += sum(w.strip(".,:;!?|()").lower() in PHRASES for w in run.split(" ", 60)[:60])
+        nodes, phrases, inputs = np.ones(n), np.array([t in _PHRASE for t in page.tag], float), np.array(page.inputs, float)
+        for i in range(n - 1, 0, -1):
+            p = parent[i]
+            text[p] += text[i]
+            link[p] += link[i]
+            runs[p] += runs[i]
+            marks[p] += marks[i]
+            usual[p] += usual[i]
+            words[p] += words[i]
+            nodes[p] += nodes[i]
+            phrases[p] += phrases[i]
+            inputs[p] += inputs[i]
+        children = np.bincount(parent[1:], minlength=n) if n > 1 else np.zeros(n)
+        place, seen = np.zeros(n), np.zeros(n)
+        alike: dict[tuple[int, str], int] = {}
+        for i in range(1, n):
+            place[i] = seen[parent[i]]
+            seen[parent[i]] += 1
+            key = (page.parent[i], page.tag[i])
+            alike[key] = alike.get(key, 0) + 1
+        self.tags = np.array([_TAG_AT.get(t, len(TAGS)) for t in page.tag])
+        self.cues = np.zeros((n, len(CUES)), np.int16)
+        self.above = np.zeros((n, len(CUES)), np.int16)
+        self.hashed: dict[int, tuple[int, ...]] = {}
+        hidden = np.zeros(n)
+        for i, given in enumerate(page.attrs):
+            if given:
+                self.cues[i], hashed, hidden[i] = attribute_cues(given.strip())
+                if hashed:
+                    self.hashed[i] = hashed
+            if i:
+                self.above[i] = np.minimum(self.above[parent[i]] + self.cues[parent[i]], 1 << 14)
+        up = np.maximum(parent, 0)
+        siblings = np.where(parent >= 0, children[up], 1)
+        same = np.array([1, *[alike[(page.parent[i], page.tag[i])] for i in range(1, n)]])
+        total = max(1.0, text[0])
+        mean_sibling = text[up] / np.maximum(1, siblings)
+        path = {t: np.zeros(n, bool) for t in ("article", "main", "nav", "aside", "footer", "form", "header")}
+        for t, flag in path.items():
+            for i in range(1, n):
+                flag[i] = flag[page.parent[i]] or page.tag[page.parent[i]] == t
+        self.columns = [
+            c.astype(np.float32)
+            for c in (
+                np.log1p(text), np.log1p(own), link / np.maximum(1, text), text / nodes, marks / np.maximum(1, words), words / np.maximum(1, runs),
+                np.log1p(phrases), inputs / nodes, np.array(page.depth, float), children, place, place / np.maximum(1, siblings), same / np.maximum(1, siblings),
+                text / np.maximum(1, text[up]), text / total, hidden, usual / np.maximum(1, words), np.minimum(9, text / np.maximum(1, mean_sibling)), *path.values(),
+            )
+        ]
+
+    def rows(self, a: int, b: int) -> np.ndarray:
+        """The feature rows of nodes a to b."""
+        out = np.zeros((b - a, COLUMNS), np.float32)
+        out[np.arange(b - a), self.tags[a:b]] = 1
+        base = len(TAGS) + 1
+        out[:, base : base + len(CUES)] = self.cues[a:b]
+        out[:, base + len(CUES) : base + 2 * len(CUES)] = np.minimum(self.above[a:b], 2)
+        base += 2 * len(CUES)
+        for i in range(a, b):
+            for h in self.hashed.get(i, ()):
+                out[i - a, base + h] = 1
+        for j, c in enumerate(self.columns):
+            out[:, base + BUCKETS + j] = c[a:b]
+        return out
 
 
 def node_features(page: Page) -> np.ndarray:
     """A row of COLUMNS features for each node."""
-    n = len(page.tag)
-    parent = np.array(page.parent)
-    text, link, runs, marks, own, words = (np.zeros(n) for _ in range(6))
-    for node, run, linked in page.runs:
-        text[node] += len(run)
-        own[node] += len(run)
-        link[node] += linked
-        runs[node] += 1
-        words[node] += run.count(" ") + 1
-        marks[node] += run.count(".") + run.count(",")
-    nodes, phrases, inputs = np.ones(n), np.array([t in _PHRASE for t in page.tag], float), np.array(page.inputs, float)
-    for i in range(n - 1, 0, -1):
-        p = parent[i]
-        text[p] += text[i]
-        link[p] += link[i]
-        runs[p] += runs[i]
-        marks[p] += marks[i]
-        words[p] += words[i]
-        nodes[p] += nodes[i]
-        phrases[p] += phrases[i]
-        inputs[p] += inputs[i]
-    children = np.bincount(parent[1:], minlength=n) if n > 1 else np.zeros(n)
-    out = np.zeros((n, COLUMNS))
-    place, seen = np.zeros(n), np.zeros(n)
-    alike: dict[tuple[int, str], int] = {}
-    for i in range(1, n):
-        place[i] = seen[parent[i]]
-        seen[parent[i]] += 1
-        key = (page.parent[i], page.tag[i])
-        alike[key] = alike.get(key, 0) + 1
-    base = len(TAGS) + 1
-    cues = np.zeros((n, len(CUES)))
-    above = np.zeros((n, len(CUES)))
-    hidden = np.zeros(n)
-    for i, (tag, given) in enumerate(zip(page.tag, page.attrs, strict=True)):
-        out[i, _TAG_AT.get(tag, len(TAGS))] = 1
-        if given:
-            found, bucket, hid = attribute_cues(given.strip())
-            cues[i] = found
-            hidden[i] = hid
-            if bucket >= 0:
-                out[i, base + 2 * len(CUES) + bucket] = 1
-        if i:
-            above[i] = above[parent[i]] + cues[parent[i]]
-    out[:, base : base + len(CUES)] = cues
-    out[:, base + len(CUES) : base + 2 * len(CUES)] = np.minimum(above, 2)
-    up = np.maximum(parent, 0)
-    siblings = np.where(parent >= 0, children[up], 1)
-    same = np.array([1, *[alike[(page.parent[i], page.tag[i])] for i in range(1, n)]])
-    total = max(1.0, text[0])
-    mean_sibling = text[up] / np.maximum(1, siblings)
-    path = {t: np.zeros(n) for t in ("article", "main", "nav", "aside", "footer", "form", "header")}
-    for i in range(1, n):
-        for t, flag in path.items():
-            flag[i] = flag[page.parent[i]] or page.tag[page.parent[i]] == t
-    columns = [
-        np.log1p(text), np.log1p(own), link / np.maximum(1, text), text / nodes, marks / np.maximum(1, words), words / np.maximum(1, runs),
-        np.log1p(phrases), inputs / nodes, np.array(page.depth, float), children, place, place / np.maximum(1, siblings), same / np.maximum(1, siblings),
-        text / np.maximum(1, text[up]), text / total, hidden, np.minimum(9, text / np.maximum(1, mean_sibling)), *path.values(),
-    ]
-    out[:, base + 2 * len(CUES) + BUCKETS :] = np.stack(columns, axis=1)
-    return out
+    found = Features(page)
+    return found.rows(0, found.n)
 
 
 # boosted trees -----------------------------------------------------------------------------------
@@ -360,8 +403,28 @@ class Generator:
         token = r.choice(CUES[r.choice(cues)])
         if r.random() < 0.4:
             token += r.choice("-_") + r.choice(["box", "block", "area", "inner", "wrap", "list", "item", "1", "2"])
+        if r.random() < 0.25:  # beside a generated name
+            token = " ".join(r.sample([token, self.made_up()], 2))
         return f' {r.choice(["class", "class", "id"])}="{token}"'
 
+    def made_up(self) -> str:
+        """A class as build tools make them."""
+        r = self.r
+        return r.choice(["css", "sc", "jss", "x", "c"]) + r.choice(["-", "_", ""]) + "".join(r.choice("abcdefgh0123456789") for _ in range(r.randint(1, 6)))
+
+    def plain(self) -> str:
+        """No attribute, or one that says nothing."""
+        r = self.r
+        return "" if r.random() < 0.5 else f' {r.choice(["class", "id"])}="{r.choice([self.made_up(), "col" + str(r.randint(1, 4)), "inner", "row", "wrapper", "container"])}"'
+
+    def nested(self, inner: str) -> str:
+        """Within plain elements, seldom many."""
+        r = self.r
+        for _ in range(r.choice([1, 1, 2, 3]) if r.random() < 0.98 else r.randint(10, 60)):
+            tag = r.choice(["div", "div", "div", "section", "center"])
+            inner = f"<{tag}{self.plain()}>{inner}</{tag}>"
+        return inner
+
     def links(self, a: int, b: int) -> str:
         r = self.r
         items = [f'<a href="/{r.randint(1, 999)}">{self.words(1, 4)}</a>' for _ in range(r.randint(a, b))]
@@ -386,7 +449,9 @@ class Generator:
         out = [f"<h1>{self.words(2, 12)}</h1>"] if r.random() < 0.8 else []
         for _ in range(r.choice([1, 1, 2, 3, 5, 9])):
             k = r.random()
-            if k < 0.76:
+            if k < 0.12:
+                out.append(self.nested(self.para() + (self.para() if r.random() < 0.5 else "")))
+            elif k < 0.76:
                 out.append(self.para())
             elif k < 0.82:
                 out.append(f"<h2>{self.words(1, 7)}</h2>{self.para()}")
@@ -402,6 +467,14 @@ class Generator:
                 out.append(f"<pre>{self.words(3, 20)}</pre>")
         return "".join(out)
 
+    def usual(self, text: str, sure: float = 0.6) -> str:
+        """With a usual phrase of such blocks, in most of them."""
+        r = self.r
+        parts = text.split(" ")
+        if r.random() < sure:
+            parts[r.randrange(len(parts))] += " " + " ".join(r.sample(sorted(PHRASES), r.randint(1, 2)))
+        return " ".join(parts)
+
     def junk(self, kind: str) -> str:
         r = self.r
         if kind == "nav":
@@ -410,8 +483,8 @@ class Generator:
             inner = f"<h1>{self.words(1, 3)}</h1><p>{self.words(2, 9)}</p>" if r.random() < 0.6 else f'<a href="/">{self.words(1, 3)}</a>{self.links(2, 6)}'
             return f"<header{self.attr('head', sure=0.5)}>{inner}</header>" if r.random() < 0.7 else f"<div{self.attr('head', sure=0.95)}>{inner}</div>"
         if kind == "footer":
-            inner = r.choice(["&copy; 2024 " + self.words(1, 20), f"<p>{self.words(3, 30)}</p>", self.links(2, 6), f"&copy; {self.words(1, 2)} &middot; {self.words(2, 40)}"])
-            return f"<footer{self.attr('foot', sure=0.4)}>{inner}</footer>" if r.random() < 0.75 else f"<div{self.attr('foot', sure=0.95)}>{inner}</div>"
+            inner = r.choice(["&copy; 2024 " + self.words(1, 20), f"<p>{self.usual(self.words(3, 30))}</p>", self.usual(self.words(3, 15)), self.links(2, 6), f"&copy; {self.words(1, 2)} &middot; {self.words(2, 40)}"])
+            return f"<footer{self.attr('foot', sure=0.4)}>{inner}</footer>" if r.random() < 0.75 else f"<div{self.attr('foot', sure=0.85)}>{inner}</div>"
         if kind == "ad":
             return f"<{(t := r.choice(['div', 'div', 'section', 'aside']))}{self.attr('ad', sure=0.97)}>{r.choice([self.words(2, 40), self.para(), self.para() + self.links(1, 3)])}</{t}>"
         if kind == "side":
@@ -423,7 +496,7 @@ class Generator:
         if kind == "form":
             inner = f"<label>{self.words(1, 4)}</label><input name=q><button>{self.words(1, 2)}</button>"
             return f"<form{self.attr('form', sure=0.4)}>{r.choice(['', f'<p>{self.words(4, 25)}</p>'])}{inner}</form>"
-        return f"<{(t := r.choice(['div', 'div', 'section', 'p']))}{self.attr('notice', sure=0.97)}>{r.choice([self.words(4, 40), f'<p>{self.words(4, 30)}</p>'])}{r.choice(['', f'<button>{self.words(1, 2)}</button>'])}</{t}>"
+        return f"<{(t := r.choice(['div', 'div', 'section', 'p']))}{self.attr('notice', sure=0.85)}>{r.choice([self.usual(self.words(4, 40)), f'<p>{self.usual(self.words(4, 30))}</p>'])}{r.choice(['', f'<button>{self.words(1, 2)}</button>'])}</{t}>"
 
     def page(self) -> tuple[str, list[tuple[int, int]]]:
         """A page and the spans of its source that are article."""
@@ -437,8 +510,8 @@ class Generator:
             out.append(s)
             size += len(s)
 
-        if r.random() < 0.06:  # a fragment
-            put(self.body(), True)
+        if r.random() < 0.08:  # a fragment
+            put(r.choice([self.body, lambda: self.nested(self.body()), lambda: self.nested(self.words(1, 30))])(), True)
             return "".join(out), spans
         put(f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{self.words(2, 8)}</title><style>p{{margin:0}}</style><script>var a="</p>";</script></head><body>')
         wrap = r.random() < 0.35
@@ -450,15 +523,27 @@ class Generator:
         outer = r.random() < 0.3
         if outer:
             put(f"<main{self.attr('content', sure=0.3)}>")
-        tag = r.choice(["article", "article", "article", "main", "div", "div", "section"])
-        put(f"<{tag}{self.attr('content', sure=0.4 if tag in ('article', 'main') else 0.85)}>")
+        around = []
+        if r.random() < 0.3:  # plain elements around the article alone
+            around = [r.choice(["div", "div", "section", "center"]) for _ in range(r.randint(1, 4) if r.random() < 0.95 else r.randint(8, 30))]
+        table = r.random() < 0.06
+        if table:
+            put(f"<table><tr><td>{self.links(2, 7)}</td>")
+        for t in around:
+            put(f"<{t}{self.plain()}>")
+        tag = "td" if table else r.choice(["article", "article", "article", "main", "div", "div", "section"])
+        put(f"<{tag}{self.plain() if r.random() < 0.2 else self.attr('content', sure=0.4 if tag in ('article', 'main') else 0.85)}>" if tag != "td" or not around else "<div>")
         if r.random() < 0.1:
             put(self.junk(r.choice(["nav", "form"])))
         for _ in range(r.choice([1, 1, 1, 2, 3])):
             put(self.body(), True)
             if r.random() < 0.25:
                 put(self.junk(r.choice(["ad", "side", "form", "notice"])))
-        put(f"</{tag}>")
+        put(f"</{tag}>" if tag != "td" or not around else "</div>")
+        for t in reversed(around):
+            put(f"</{t}>")
+        if table:
+            put("</tr></table>")
         if r.random() < 0.3:
             put(self.junk("comment"))
         if outer:
@@ -485,7 +570,7 @@ def labels_of(page: Page, spans: list[tuple[int, int]]) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=1)
-def trained(pages: int = 500, seed: int = 3) -> Boosted:
+def trained(pages: int = 800, seed: int = 3) -> Boosted:
     """The model, trained once a process on generated pages."""
     make = Generator(seed)
     xs, ys = [], []
@@ -498,19 +583,39 @@ def trained(pages: int = 500, seed: int = 3) -> Boosted:
 
 
 def texts_of(sources: list[str | None], model: Boosted) -> list[str]:
-    """Main texts of pages; the trees run once over all their nodes."""
+    """Main texts of pages; the trees run over the nodes of many pages at once, ROWS at most."""
     pages = [Page(s) if s else None for s in sources]
-    x = [node_features(p) for p in pages if p is not None and p.runs]
-    raw = model.raw(np.concatenate(x)) if x else np.zeros(0)
-    out, at = [], 0
-    for p in pages:
-        if p is None or not p.runs:
+    raws: list[list[np.ndarray]] = [[] for _ in pages]
+    held: list[tuple[int, np.ndarray]] = []
+
+    def judged() -> None:
+        if held:
+            raw, at = model.raw(np.concatenate([x for _, x in held])), 0
+            for i, x in held:
+                raws[i].append(raw[at : at + len(x)])
+                at += len(x)
+            held.clear()
+
+    size = 0
+    for i, page in enumerate(pages):
+        if page is None or not page.runs:
+            continue
+        found = Features(page)
+        for a in range(0, found.n, ROWS):
+            x = found.rows(a, min(found.n, a + ROWS))
+            if size + len(x) > ROWS:
+                judged()
+                size = 0
+            held.append((i, x))
+            size += len(x)
+    judged()
+    out = []
+    for page, raw in zip(pages, raws, strict=True):
+        if not raw:
             out.append("")
             continue
-        n = len(p.tag)
-        best = decode(p.parent, raw[at : at + n])
-        at += n
-        out.append(" ".join(text for node, text, _ in p.runs if best[node]))
+        best = decode(page.parent, np.concatenate(raw))
+        out.append(" ".join(text for node, text, _ in page.runs if best[node]))
     return out
 
 
@@ -518,10 +623,11 @@ def extract(df: DataFrame, source: str = "html", keep: tuple[str, ...] = ("page_
     """``keep`` and text, the main text of each page."""
     kept = list(keep)
     model = model or trained()
+    read = free_name(df, "html_")
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "_html", 1 << 20):
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts_of(batch.column("_html").to_pylist(), model), pa.string())], names=schema.names)
+        for batch in chunks(batches, read, 1 << 20):
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts_of(batch.column(read).to_pylist(), model), pa.string())], names=schema.names)
 
-    return df.select(*kept, df[source].alias("_html")).mapInArrow(run, schema)
+    return df.select(*kept, df[source].alias(read)).mapInArrow(run, schema)
