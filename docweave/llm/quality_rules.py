@@ -1,8 +1,10 @@
 """Quality rules: a short-circuit cascade ordered by rejection per cost.
 
-``estimate`` runs every rule on a bounded sample (SAMPLE rows), measures the seconds a row and the share
-of rows it rejects, and orders the rules by rejection per second. ``apply_rules`` then evaluates them in
-that order on whole texts, each only on the rows that every earlier rule kept; the order changes the
+``estimate`` takes a sample of rows by their hashes (SAMPLE rows, SAMPLE_BYTES bytes) and picks the rules one
+by one: each has the seconds a row that it needs beside what the rules before it made already, and the share
+that it rejects of the rows that these kept; the one with the most rejection per second comes next.
+``apply_rules`` evaluates the rules in that order on whole texts, each only on the rows that every earlier
+rule kept; what is made of a text (words, counts, lines) is kept for the rules after. The order changes the
 cost, never the verdict. No shuffle; memory is bounded by a chunk of texts or one long text.
 
 A null text is an empty one (no words). Repeated rows get equal values, null ids pass through, an
@@ -17,14 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.llm.common import chunks, mix, row_sums, shingle_hashes, span_hashes, text_bytes, word_spans
 
-#: Rows that costs and selectivities are estimated on.
-SAMPLE = 500
+#: Rows that costs and selectivities are estimated on, and bytes of them (longer texts are left out of the sample).
+SAMPLE, SAMPLE_BYTES = 500, 16 << 20
 #: Fixed values of the base rules.
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 
@@ -46,7 +48,6 @@ class Texts:
     """A chunk of texts with what the rules share, each part made on first use."""
 
     def __init__(self, column: pa.Array):
-        self.column = column
         self.buf, self.offsets = text_bytes(column)
         self.n = len(column)
         self._made: dict[str, object] = {}
@@ -56,6 +57,34 @@ class Texts:
             self._made[name] = make()
         return self._made[name]
 
+    def narrowed(self, alive: np.ndarray) -> Texts:
+        """Only some of the rows, with what was made of them."""
+        out = Texts.__new__(Texts)
+        sizes = np.diff(self.offsets)
+        inside = np.zeros(self.n, bool)
+        inside[alive] = True
+        out.n, out.offsets, out.buf = len(alive), np.concatenate([[0], np.cumsum(sizes[alive])]), self.buf[np.repeat(inside, sizes)]
+        number = np.cumsum(inside) - 1
+        of_words = inside[self._made["spans"][2]] if "spans" in self._made else None
+
+        def cut(name: str, value):
+            if name == "spans":
+                starts, ends, rows = (x[of_words] for x in value)
+                shift = out.offsets[number[rows]] - self.offsets[rows]
+                return starts + shift, ends + shift, number[rows]
+            if name == "word_hashes":
+                return value[of_words]
+            return tuple(x[alive] for x in value) if isinstance(value, tuple) else value[alive]
+
+        out._made = {name: cut(name, value) for name, value in self._made.items()}
+        return out
+
+    def again(self) -> Texts:
+        """The same rows, to make more of them apart."""
+        out = Texts.__new__(Texts)
+        out.n, out.offsets, out.buf, out._made = self.n, self.offsets, self.buf, dict(self._made)
+        return out
+
     def per_row(self, flags: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
         return sums[self.offsets[1:]] - sums[self.offsets[:-1]]
@@ -159,32 +188,59 @@ RULES = (
 )
 
 
+def sampled(df: DataFrame, text: str, sample: int) -> pa.Array:
+    """Texts of the first ``sample`` rows by hash, as far as they have SAMPLE_BYTES together."""
+    h = F.xxhash64(*[c for c in df.columns if df.schema[c].dataType.typeName() not in ("map", "variant")], F.lit(5))
+    rows = df.select(h.alias("h"), F.octet_length(text).alias("size")).orderBy("h").limit(sample).collect()
+    room, chosen = SAMPLE_BYTES, []
+    for row in rows:
+        if (row.size or 0) <= room:
+            room -= row.size or 0
+            chosen.append(row.h)
+    if not chosen:
+        return pa.array([], pa.string())
+    # equal rows have one hash: one of them counts
+    found = df.select(h.alias("h"), F.col(text).alias("text")).where(F.col("h").isin(chosen)).groupBy("h").agg(F.first("text").alias("text")).orderBy("h")
+    return pa.array([r.text for r in found.collect()], pa.string())
+
+
 def estimate(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample: int = SAMPLE) -> list[tuple[Rule, float, float]]:
-    """Rules in the order to run, each with seconds a row and the share that it rejects of the sample."""
-    column = pa.array([r[0] for r in df.select(text).limit(sample).collect()], pa.string())
+    """Rules in the order to run, each with the seconds a row and the share of rows rejected, after those before it."""
+    column = sampled(df, text, sample)
     if not len(column):
         return [(r, 0.0, 0.0) for r in rules]
-    found = []
-    for rule in rules:
-        Texts(column)  # so that tables shared by all rules are not charged to the first
-        begun = time.perf_counter()
-        rejected = float(np.mean(rule.rejects(Texts(column))))
-        found.append((rule, max(1e-9, (time.perf_counter() - begun) / len(column)), rejected))
-    return sorted(found, key=lambda x: -x[2] / x[1])
-
-
-def keep(column: pa.Array, rules: Sequence[Rule], made: Texts | None = None) -> np.ndarray:
-    """The cascade on one chunk: each rule sees what the earlier ones kept. ``made``: the chunk's own shared parts."""
-    alive = np.arange(len(column))
-    texts = made or Texts(column)
+    for rule in rules:  # tables that all chunks share are made before time counts
+        rule.rejects(Texts(column))
+    left, found, now = list(rules), [], Texts(column)
+    while left:
+        tried = []
+        for rule in left:
+            texts = now.again()
+            begun = time.perf_counter()
+            gone = rule.rejects(texts)
+            tried.append((rule, max(1e-9, (time.perf_counter() - begun) / now.n), float(gone.mean()), gone, texts))
+        rule, cost, share, gone, texts = max(tried, key=lambda x: x[2] / x[1])
+        found.append((rule, cost, share))
+        left.remove(rule)
+        if gone.all():
+            # nothing is left to measure on: the others in the order of what they cost the last rows
+            return found + [x[:3] for x in sorted((t for t in tried if t[0] is not rule), key=lambda x: -x[2] / x[1])]
+        now = texts.narrowed(np.flatnonzero(~gone)) if gone.any() else texts
+    return found
+
+
+def keep(texts: Texts, rules: Sequence[Rule]) -> np.ndarray:
+    """The cascade on one chunk: each rule sees what the earlier ones kept, with what they made of it."""
+    out = np.zeros(texts.n, bool)
+    alive = np.arange(texts.n)
     for rule in rules:
-        kept = ~rule.rejects(texts)
-        if not kept.all():
+        gone = rule.rejects(texts)
+        if gone.any():
+            kept = np.flatnonzero(~gone)
             alive = alive[kept]
             if not len(alive):
-                break
-            texts = Texts(pc.take(column, pa.array(alive)))
-    out = np.zeros(len(column), bool)
+                return out
+            texts = texts.narrowed(kept)
     out[alive] = True
     return out
 
@@ -196,7 +252,7 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(keep(batch.column("text"), ordered))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(keep(Texts(batch.column("text")), ordered))], names=schema.names)
 
     return df.select(key, text).toDF("key", "text").mapInArrow(run, schema)
 
@@ -209,16 +265,14 @@ def with_base(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            column = batch.column("text")
-            t = Texts(column)
+            t = Texts(batch.column("text"))
             failed = t.base_failed()
-            kept = np.zeros(t.n, bool)
-            passed = np.flatnonzero(~failed)
-            if len(passed) == t.n:
-                kept = keep(column, ordered, t)
-            elif len(passed):
-                kept[passed] = keep(pc.take(column, pa.array(passed)), ordered)
             counts = (t.n_words, t.word_chars, t.n_symbols, t.lines[1], t.n_repeat_words)
+            # every row has its base counts; the cascade sees those that the base rules keep
+            passed = np.flatnonzero(~failed)
+            kept = np.zeros(t.n, bool)
+            if len(passed):
+                kept[passed] = keep(t.narrowed(passed) if len(passed) < t.n else t, ordered)
             yield pa.RecordBatch.from_arrays([batch.column("key"), *[pa.array(c, pa.int64()) for c in counts], pa.array(failed), pa.array(kept)], names=schema.names)
 
     return df.select(key, text).toDF("key", "text").mapInArrow(run, schema)

@@ -101,6 +101,40 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.with_base(read_table(spark, sf_dir, "documents"))
 
 
+#: The base counts by lists of words and lines, and every rule of the cascade in its own words.
+OP7_SQL = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents
+), l AS (
+  SELECT r, line, count(*) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^ \t-\r]') GROUP BY r, line
+), lines AS (
+  SELECT r, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(n - 1) AS BIGINT) AS n_dup_lines FROM l GROUP BY r
+), windows AS (
+  SELECT r, i, array_to_string(w[i:i + 7], ' ') AS x FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 6, 1))) AS i FROM t WHERE len(w) >= 8)
+), again AS (
+  SELECT DISTINCT r, i + k AS at FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM windows), range(8) o(k) WHERE n > 1
+), covered AS (
+  SELECT r, count(*) AS n_repeat_words FROM again GROUP BY r
+), counts AS (
+  SELECT t.r, doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS upper_, length(text) - length(regexp_replace(text, '[a-z]', '', 'g')) AS lower_,
+    length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS digits
+  FROM t LEFT JOIN lines USING (r) LEFT JOIN covered USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words
+    OR 10 * n_symbols > 3 * n_words
+    OR upper_ / greatest(1, upper_ + lower_) > CAST(0.6 AS DOUBLE)
+    OR digits / greatest(1, word_chars) > CAST(0.4 AS DOUBLE)
+    OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+    OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines)) AS kept
+FROM counts
+"""
+
+
 def op9_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = quality_rank.train(docs, read_table(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1))
@@ -132,4 +166,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5_SQL}
+    return {"op5_url_filter": OP5_SQL, "op7_quality_rules": OP7_SQL}

@@ -334,12 +334,45 @@ def test_quality_rules(docs, corpus):
     for rule in quality_rules.RULES:
         whole &= ~rule.rejects(quality_rules.Texts(column))
     for order in (quality_rules.RULES, quality_rules.RULES[::-1]):
-        assert (quality_rules.keep(column, order) == whole).all()
-    ordered = quality_rules.estimate(docs)
-    assert [x[2] / x[1] for x in ordered] == sorted((x[2] / x[1] for x in ordered), reverse=True)
+        assert (quality_rules.keep(quality_rules.Texts(column), order) == whole).all()
+    assert {r.name for r, *_ in quality_rules.estimate(docs)} == {r.name for r in quality_rules.RULES}
     assert quality_rules.with_base(docs.limit(0)).count() == 0 and quality_rules.apply_rules(docs).where("kept").count() == int(whole.sum())
 
 
+def test_rules_are_ordered_by_rejection_of_what_is_left(spark):
+    """A cheap rule that rejects what an earlier one already has comes last; a slow one after a cheap one."""
+    import time
+
+    rows = [(i, "a b c" if i % 2 else "d " * 30) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def slow(t):
+        time.sleep(0.05)
+        return t.n_words > 20
+
+    rules = [quality_rules.Rule("slow", slow), quality_rules.Rule("few", lambda t: t.n_words < 20), quality_rules.Rule("same", lambda t: t.n_words < 10)]
+    found = quality_rules.estimate(df, rules)
+    assert found[0][0].name in ("few", "same") and 0.3 < found[0][2] < 0.7
+    assert [f for f in found if f[0].name == "slow"][0][2] > 0.9  # of the survivors
+    assert quality_rules.sampled(df, "text", 20).to_pylist() != [t for _, t in rows[:20]] and len(quality_rules.sampled(df, "text", 20)) == 20
+
+
+def test_narrowed_texts_keep_what_was_made(corpus):
+    column = pa.array([t for _, t, *_ in corpus])
+    rows = np.flatnonzero(np.arange(len(column)) % 3 > 0)
+    whole, some = quality_rules.Texts(column), quality_rules.Texts(column.take(pa.array(rows)))
+    names = ("n_words", "word_chars", "n_symbols", "n_repeat_words")
+    for name in names:
+        getattr(whole, name)
+    whole.lines  # noqa: B018
+    cut = whole.narrowed(rows)
+    assert {"spans", "word_hashes", "n_words", "lines"} <= cut._made.keys() and (cut.buf == some.buf).all()
+    for name in names:
+        assert (getattr(cut, name) == getattr(some, name)).all()
+    assert all((a == b).all() for a, b in zip(cut.spans, some.spans, strict=True)) and all((a == b).all() for a, b in zip(cut.lines, some.lines, strict=True))
+    assert [len(x) for x in cut.narrowed(np.zeros(0, np.int64)).spans] == [0, 0, 0]
+
+
 # 8 -----------------------------------------------------------------------------------------------
 
 
