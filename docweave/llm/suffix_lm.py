@@ -15,7 +15,13 @@ texts fetch by a join; those of the commonest runs (CACHE) are broadcast to save
 Counts cover every training text: tasks count symbol runs and words, Spark adds them up. The scores need
 each word's count and each run's probability beside the texts: tasks file the distinct words and runs of
 blocks of texts, the tables are joined to these, and block and values meet again by the block's number, so
-no vocabulary or tree is ever broadcast or held whole in a task.
+no vocabulary or tree is ever broadcast or held whole in a task. Blocks are numbered twice, for their needs
+and for their texts: an input whose rows could come in another order when a task runs again (after an
+exchange) is written to the shared folder first.
+
+A text's score is the sum of its symbols' log10 probabilities, so long words have no floor. It is a proper
+distribution over all texts, unlike the base score, which gives each of the endless unseen words a share of
+1 / (N + V + 1): the base score of a text with many unseen words can therefore be the higher one.
 
 Defined results: a null text is an empty one (only the end); repeated rows score alike and count each
 in training; null ids are not held out; an empty training set gives uniform symbols; an empty table
@@ -37,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from docweave.llm.common import IS_SPACE, chunks, lowered, span_hashes, staged, text_bytes, word_spans
+from docweave.llm.common import IS_SPACE, chunks, dropped, lowered, span_hashes, staged, text_bytes, word_spans
 
 DEPTH = 6
 #: Nats that a context must save, and how often it must occur.
@@ -45,12 +51,10 @@ LEAST_GAIN, LEAST_COUNT = 4.0, 4
 #: Runs whose probabilities are broadcast, the commonest ones; the others are joined.
 CACHE = 2_000_000
 BLANK, END = 0x20, 0x0A
-#: A token's probability is this share of the tree's and, for the rest, its share of the training tokens.
-TREE_SHARE = 0.8
 #: The hash that stands for the end token among words.
 END_WORD = np.uint64(0x454E44)
 #: Bytes of text in a block; entries that a task gathers before it adds equal ones up; bytes of text worked on at once.
-BLOCK, GATHER, PIECE = 6 << 20, 4 << 20, 1 << 20
+BLOCK, GATHER, PIECE = 4 << 20, 4 << 20, 1 << 20
 #: Symbols that a lane of the automaton reads.
 SEGMENT = 256
 
@@ -237,7 +241,7 @@ def low(code: Column | str, symbols: int) -> Column:
 
 def probabilities(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     """code, n and value of every run of depth + 1 symbols (code, n): the log10 probability of its last symbol
-    after the longest kept suffix of the others."""
+    after the longest kept suffix of the others. The levels' own tables go once these are written."""
     total = int(grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     counts = [grams.groupBy(low("code", d + 1).alias("code")).agg(F.sum("n").alias("n")) for d in range(depth)] + [grams]
     levels = [staged(counts[0].select("code", "n", ((F.col("n") + 1) / F.lit(float(total + 256))).alias("p")), "lm-level")]
@@ -264,7 +268,9 @@ def probabilities(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
         own = kept.where(F.col("d") == d).select("context", F.lit(True).alias("kept"))
         level = levels[d].withColumn("context", F.shiftright("code", 8)).join(own, "context", "left").withColumn("up", low("code", d)).join(shorter, "up")
         out = level.select("code", "n", F.when(F.col("kept"), F.col("p")).otherwise(F.col("shorter")).alias("p"))
-    return staged(out.select("code", "n", F.log10("p").alias("value")), "lm-runs")
+    out = staged(out.select("code", "n", F.log10("p").alias("value")), "lm-runs")
+    dropped(*levels, kept)
+    return out
 
 
 def commonest(table: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -290,6 +296,11 @@ def places(table: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, table[at] == codes
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, written out if its rows could come in another order in a second evaluation."""
+    return staged(df, "lm-input") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
 def blocks(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` and the text, with the number of the block of about BLOCK bytes that the row is in."""
     schema = T.StructType([T.StructField("block", T.LongType()), *[df.schema[c] for c in keep], T.StructField("text", T.StringType())])
@@ -351,7 +362,7 @@ def score(df: DataFrame, training: Column, text: str = "text", keep: tuple[str,
     common = df.sparkSession.sparkContext.broadcast(tuple(held))
     norm = math.log10(tokens + distinct + 1)
 
-    blocked = blocks(df, text, kept)
+    blocked = blocks(settled(df.select(*dict.fromkeys([*kept, text]))), text, kept)
     values = words.select(F.lit(False).alias("run"), "code", F.col("n").cast("double").alias("value"))
     values = values.unionByName(table.where(F.col("n") < least).select(F.lit(True).alias("run"), "code", "value"))
     known = block_needs(blocked, common, depth).join(values, ["run", "code"]).select("block", "run", "code", "value")
@@ -384,13 +395,12 @@ def score(df: DataFrame, training: Column, text: str = "text", keep: tuple[str,
             logs[rare] = looked_up(lookup[1], grams[rare], np.nan)
             if np.isnan(logs).any():
                 raise ValueError("a run without a probability")
-            # a run's last symbol: a token is its word's bytes with a blank, or the end
-            last = (grams & np.uint64(255))[where]
-            spelt = np.power(10.0, np.diff(np.cumsum(logs[where])[(last == BLANK) | (last == END)], prepend=0.0))
-            model = np.log10(np.maximum(TREE_SHARE * spelt + (1 - TREE_SHARE) * times / max(1, tokens), 1e-300))
-            sums = [np.bincount(row, weights=x, minlength=size) for x in (times > 0, np.log10(times + 1.0) - norm, model)]
+            # a row's runs: those of its symbols but for the feeds in front
+            model = np.bincount(np.repeat(np.arange(size), np.diff(begins) - depth), weights=logs[where], minlength=size)
+            sums = [*[np.bincount(row, weights=x, minlength=size) for x in (times > 0, np.log10(times + 1.0) - norm)], model]
             cols = [pa.array(n_tokens), pa.array(sums[0].astype(np.int64)), pa.array(np.full(size, tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
             out.append(pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], *cols], schema=arrow_schema))
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(out, schema=arrow_schema)
 
     return blocked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, schema)

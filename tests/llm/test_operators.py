@@ -211,6 +211,47 @@ def test_contexts_of_six_symbols_that_save_little(spark):
     assert len(ends) == 2 and min(ends) > math.log10(0.9)
 
 
+def plain_scores(texts, training, depth):
+    """Scores by the definition, with dictionaries: counts by context, gains, kept contexts, longest suffixes."""
+    spelt = [b"\n" * depth + b"".join(w.encode() + b" " for w in words_of(t)) + b"\n" for t in texts]
+    count = [{} for _ in range(depth + 1)]
+    seen = [{b[i - d : i] for b in spelt for i in range(depth, len(b))} for d in range(depth + 1)]
+    for b, trains in zip(spelt, training, strict=True):
+        for i in range(depth, len(b)):
+            for d in range(depth + 1):
+                of = count[d].setdefault(b[i - d : i], Counter())
+                of[b[i]] += trains
+    total = sum(count[0][b""].values())
+    probs = {b"": {s: (count[0][b""][s] + 1) / (total + 256) for s in range(256)}}
+    kept = {b""}
+    for d in range(1, depth + 1):
+        for context in seen[d]:
+            of = {s: k for s, k in count[d].get(context, {}).items() if k}
+            size, above = sum(of.values()), probs[context[1:]]
+            probs[context] = above
+            if size >= suffix_lm.LEAST_COUNT:
+                probs[context] = {s: (of.get(s, 0) + len(of) * p) / (size + len(of)) for s, p in above.items()}
+                if sum(k * math.log(k / size / above[s]) for s, k in of.items()) >= suffix_lm.LEAST_GAIN:
+                    kept |= {context[i:j] for i in range(d) for j in range(i + 1, d + 1)}
+    longest = lambda h: next(h[i:] for i in range(len(h) + 1) if h[i:] in kept)
+    return [math.fsum(math.log10(probs[longest(b[i - depth : i])][b[i]]) for i in range(depth, len(b))) for b in spelt]
+
+
+def test_scores_follow_the_definition(spark):
+    """The registered depth against a plain version, with words of thousands of bytes, and without a floor."""
+    r = random.Random(15)
+    texts = [prose(r, 60, "abcd") for _ in range(12)] + ["z" * 3000, "z" * 30000, "q" * 700 + " ab", "", None, "Ab aB", "é ü"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    training = [i % 3 > 0 for i in range(len(texts))]
+    want = plain_scores(texts, training, suffix_lm.DEPTH)
+    got = {x.doc_id: x.score for x in suffix_lm.score(df, F.col("doc_id") % 3 > 0).collect()}
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-4, abs_tol=1e-3) for i in range(len(texts)))
+    none = {x.doc_id: x.score for x in suffix_lm.score(df, F.lit(False)).collect()}
+    assert none[13] < 9.5 * none[12] < -9.5 * 7000
+    # rows after an exchange are settled first
+    assert {x.doc_id: round(x.score, 3) for x in suffix_lm.score(df.repartition(3, "text"), F.col("doc_id") % 3 > 0).collect()} == {i: round(s, 3) for i, s in got.items()}
+
+
 def test_scores_do_not_depend_on_the_broadcast(docs, monkeypatch):
     def scores():
         return Counter((r.doc_id, r.n_tokens, round(r.score, 3)) for r in suffix_lm.score(docs, F.coalesce(F.col("doc_id") % 5 > 0, F.lit(False))).collect())
