@@ -12,19 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import jaccard_join, langid, packing, quality_rank
-from docweave.llm.common import fold, read_table, staged
+from docweave.llm.common import dropped, free_name, held_out, read_table, staged
 from docweave.llm.queries import tokenizer_file
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality_rank.train(docs, read_table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
-    return quality_rank.score(docs, model, keep=tuple(docs.columns)).where("score >= 0.5").select(*docs.columns)
+    model = quality_rank.train(docs, read_table(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1))
+    name = free_name(docs, "score_")
+    return quality_rank.score(docs, model, keep=tuple(docs.columns), name=name).where(F.col(name) >= 0.5).drop(name)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    net = langid.train(docs, fold("doc_id", 4) != 2)
-    found = langid.predict(docs, net, keep=tuple(docs.columns))
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    net = langid.train(docs, ~held_out("doc_id", 4, 2))
+    names = free_name(docs, "lang_pred_"), free_name(docs, "score_")
+    found = langid.predict(docs, net, keep=tuple(docs.columns), names=names)
+    return found.where(F.col(names[0]) != langid.UNKNOWN).drop(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,6 +46,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
+    read = None
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if read is not None:
+            dropped(read)  # the stage before: its rows are in this one's files now
+        read = docs
     return docs
