@@ -49,3 +49,7 @@ class LockConflict(EngineError):
 
 class DuplicateKey(EngineError):
     sqlstate = "23505"
+
+
+class PropagationDepthExceeded(DepthExceeded):
+    """More levels of models than a commit may refresh."""

@@ -42,24 +42,21 @@ def classify(schema: T.StructType, strict_id: bool = False) -> ModelSchema:
     return ModelSchema(pk[3:] if pk else None, pk, *(n if n in names else None for n in ("id", "identifier", "data")), fks, uuid_fks, {f.name: f.dataType.simpleString() for f in rest if f.name not in {*fks, *uuid_fks}})
 
 
-# Parts of column names and the types they suggest, first match wins.
+# Column names, how they end, begin or what they hold, and the types they suggest; first match wins.
 NAME_TYPES = (
-    (("id", "uuid"), ("_id",), "UUID"),
-    (("name", "title", "text", "description", "email"), (), "TEXT"),
-    (("pk_", "fk_", "count", "number", "size"), (), "INTEGER"),
-    (("date", "time", "created", "updated"), (), "TIMESTAMP"),
-    (("is_", "has_", "active", "enabled", "deleted"), (), "BOOLEAN"),
+    ("UUID", {"equal": ("id",), "end": ("_id",), "hold": ("uuid",)}),
+    ("TEXT", {"hold": ("name", "title", "text", "description", "email")}),
+    ("INTEGER", {"begin": ("pk_", "fk_"), "hold": ("count", "number", "size")}),
+    ("TIMESTAMP", {"hold": ("date", "time", "created", "updated")}),
+    ("BOOLEAN", {"begin": ("is_", "has_"), "hold": ("active", "enabled", "deleted")}),
 )
 
 
 def type_of_name(column: str) -> str:
     """The array element type that a column's name suggests; UUID when nothing fits."""
     name = column.lower()
-    for words, ends, kind in NAME_TYPES:
-        if kind == "UUID":
-            if name in words or name.endswith(ends) or "uuid" in name:
-                return kind
-        elif any(w in name for w in words):
+    for kind, how in NAME_TYPES:
+        if name in how.get("equal", ()) or name.startswith(how.get("begin", ())) or name.endswith(how.get("end", ())) or any(w in name for w in how.get("hold", ())):
             return kind
     return "UUID"
 
@@ -95,11 +92,20 @@ def path_steps(path: str) -> list[str | int]:
     return steps
 
 
+_CTAS = re.compile(r"\s*CREATE\s+TABLE\s+(?:(\w+)\.)?(tv_\w+)\s+AS\s+(.*?);?\s*", re.I | re.S)
+
+
 def ctas_header(text: str) -> tuple[str, str] | None:
-    """Model name and SELECT of ``CREATE TABLE [schema.]tv_x AS SELECT ...``; None for other statements."""
-    m = re.fullmatch(r"\s*CREATE\s+TABLE\s+(?:(\w+)\.)?(tv_\w+)\s+AS\s+(.*?);?\s*", text, re.I | re.S)
+    """Model name and SELECT of ``CREATE TABLE [namespace.]tv_x AS SELECT ...``; None for other statements."""
+    m = _CTAS.fullmatch(text)
     if not m:
         return None
     if not re.match(r"SELECT\b", m[3], re.I):
         raise InvalidSelect("a model is defined by a SELECT")
     return m[2], m[3]
+
+
+def ctas_namespace(text: str) -> str | None:
+    """The namespace that such a statement names."""
+    m = _CTAS.fullmatch(text)
+    return m[1] if m else None

@@ -20,14 +20,22 @@ def queue_stats(engine: Engine) -> dict:
     return engine.metrics.as_dict()
 
 
-def queue_info(transaction) -> list[dict]:
-    """Changed keys of an open transaction, each once: entity and key."""
-    e = transaction.e
-    out = set()
-    for c in transaction.changes:
-        entity = e.bases[c["table"]].entity
-        out |= {(entity, r[0]) for r in e.spark.read.parquet(c["path"]).select("pk").distinct().collect()}
-    return [{"entity": a, "pk": b} for a, b in sorted(out)]
+def queue_frame(transaction) -> DataFrame:
+    """Changed keys of an open transaction, each once: entity and key as text."""
+    e, out = transaction.e, None
+    for table, rows in transaction.changes:
+        part = rows.frame.select(F.lit(e.bases[table].entity).alias("entity"), F.col("pk").cast("string").alias("pk"))
+        out = part if out is None else out.union(part)
+    return e.spark.createDataFrame([], "entity string, pk string") if out is None else out.distinct()
+
+
+def queue_info(transaction, most: int = 1_000) -> list[dict]:
+    """The first changed keys of an open transaction by entity and key, each once; ``queue_frame`` has them all."""
+    e, found = transaction.e, set()
+    for table, rows in transaction.changes:
+        some = rows.frame.select("pk").distinct().orderBy("pk").limit(most).collect()
+        found |= {(e.bases[table].entity, r[0]) for r in some}
+    return [{"entity": a, "pk": b} for a, b in sorted(found, key=lambda x: (x[0], str(type(x[1])), x[1]))[:most]]
 
 
 def health(engine: Engine) -> list[tuple[str, str, str, str]]:
@@ -42,8 +50,8 @@ def health(engine: Engine) -> list[tuple[str, str, str, str]]:
 
 
 def performance(engine: Engine) -> list[dict]:
-    """Rows of each model, most first."""
-    out = [{"name": m, "rows": engine.table(m).count(), "overlay": engine.tables[m].overlay is not None} for m in engine.models]
+    """Rows, bytes and deltas of each model, most rows first."""
+    out = [{"name": m, "rows": engine.table(m).count(), "bytes": engine.files.size(engine.tables[m].root), "deltas": len(engine.tables[m].deltas), "changed": engine.tables[m].changed()} for m in engine.models]
     return sorted(out, key=lambda r: (-r["rows"], r["name"]))
 
 

@@ -27,12 +27,8 @@ def apply_changes(engine: Engine, table: str, changes: DataFrame, order: str, ba
 
     def batch(t: Transaction) -> None:
         last = newest(changes, base.pk, order)
-        last = t._staged(last, "feed")
         t.insert(table, last.where("op <> 'D'").select(*columns))
-        gone = last.where("op = 'D'").select(base.pk)
-        now = engine.table(table, t.tables)
-        hit = now.join(gone, base.pk, "left_semi").select(F.col(base.pk).alias("pk"), F.struct(*now.columns).alias("before"))
-        t._add(table, hit.withColumn("after", F.lit(None).cast(hit.schema["before"].dataType)))
+        t.delete_keys(table, last.where("op = 'D'").select(base.pk))
 
     return engine.apply(batch, f"{table}:{batch_id}")
 

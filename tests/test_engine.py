@@ -177,3 +177,147 @@ def test_graph_and_lineage(spark):
         lineage.base_tables(spark, "v_a", {"v_a": "SELECT * FROM v_b", "v_b": "SELECT * FROM v_a"})
     assert lineage.kind_of("SELECT named_struct('posts', coalesce(collect_list(v_post.data), array()))", "fk_post") == (lineage.Kind.ARRAY, "posts")
     assert lineage.kind_of("SELECT fk_x", "fk_x") == (lineage.Kind.SCALAR, None)
+
+
+def registered(e, spark, tmp_path, name, df, pk, entity, fks=None):
+    df.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    e.register(name, f"file://{tmp_path}/{name}", pk, entity, fks or {})
+
+
+def test_a_table_in_two_roles(spark, tmp_path):
+    """A tree: rows keep their parents when a leaf changes, and follow their parent's change."""
+    e = Engine(spark, f"file://{tmp_path}/engine")
+    registered(e, spark, tmp_path, "tb_cat", spark.createDataFrame([(i, (i - 1) // 2 if i else None, f"c{i}") for i in range(12)], "pk_cat long, fk_parent long, name string"), "pk_cat", "cat")
+    e.create("tv_cat", "SELECT c.pk_cat, c.fk_parent, named_struct('name', c.name, 'parent', p.name) AS data FROM tb_cat c LEFT JOIN tb_cat p ON p.pk_cat = c.fk_parent", "tb_cat", fks={"fk_parent": "cat"})
+    e.create("tv_kids", "SELECT c.pk_cat AS pk_kids, named_struct('n', (SELECT count(*) FROM tb_cat k WHERE k.fk_parent = c.pk_cat)) AS data FROM tb_cat c", "tb_cat")
+    assert e.models["tv_cat"].whole == () and e.models["tv_kids"].whole == ("tb_cat",)
+    for change in (lambda t: t.update("tb_cat", "pk_cat = 9", {"name": "'leaf'"}), lambda t: t.update("tb_cat", "pk_cat = 1", {"name": "'inner'"}), lambda t: t.update("tb_cat", "pk_cat = 9", {"fk_parent": "2"}), lambda t: t.delete("tb_cat", "pk_cat = 5")):
+        e.apply(change)
+        assert_equal(e)
+    assert e.table("tv_cat").where("pk_cat = 9").select("data.name", "data.parent").first() == ("leaf", "c2")
+
+
+def test_undeclared_sources_are_followed(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/engine")
+    registered(e, spark, tmp_path, "tb_a", spark.createDataFrame([(i, i % 3) for i in range(9)], "pk_a long, code long"), "pk_a", "a")
+    registered(e, spark, tmp_path, "tb_b", spark.createDataFrame([(i, f"b{i}") for i in range(3)], "pk_b long, name string"), "pk_b", "b")
+    e.create("tv_a", "SELECT pk_a, named_struct('b', b.name) AS data FROM tb_a LEFT JOIN tb_b b ON b.pk_b = code", "tb_a")
+    e.create("tv_flag", "SELECT pk_a AS pk_flag, named_struct('has', EXISTS (SELECT 1 FROM tb_b WHERE pk_b = code AND name LIKE 'x%')) AS data FROM tb_a", "tb_a")
+    assert e.models["tv_a"].whole == ("tb_b",) == e.models["tv_flag"].whole
+    t = e.begin().update("tb_b", "pk_b = 1", {"name": "'x'"})
+    assert t.commit()["tv_a"]["rewritten"] == 3 and t.strategies == {"tv_a": "whole", "tv_flag": "whole"}
+    assert_equal(e)
+
+
+def test_text_keys(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/engine")
+    registered(e, spark, tmp_path, "tb_u", spark.createDataFrame([(f"u-{i}", f"n{i}") for i in range(4)], "pk_u string, name string"), "pk_u", "u")
+    registered(e, spark, tmp_path, "tb_p", spark.createDataFrame([(f"p-{i}", f"u-{i % 4}", "t") for i in range(12)], "pk_p string, fk_u string, title string"), "pk_p", "p", {"fk_u": "u"})
+    e.create("tv_u", "SELECT pk_u, named_struct('name', name) AS data FROM tb_u", "tb_u")
+    e.create("tv_p", "SELECT pk_p, fk_u, named_struct('title', title, 'u', v_u.data) AS data FROM tb_p LEFT JOIN v_u ON v_u.pk_u = fk_u", "tb_p")
+    t = e.begin().update("tb_u", "pk_u = 'u-1'", {"name": "'new'"})
+    assert t.commit()["tv_p"]["rewritten"] == 3 and t.strategies["tv_p"] == "patch"
+    e.apply(lambda t: t.delete("tb_u", "pk_u = 'u-2'").update("tb_p", "pk_p = 'p-1'", {"fk_u": "'u-3'"}))
+    assert_equal(e)
+
+
+def test_patching_equals_recomputing(engine):
+    t = engine.begin().update("tb_user", "pk_user IN (1, 2)", {"name": "'patched'"}).delete("tb_user", "pk_user = 3")
+    t.commit()
+    assert t.strategies == {"tv_user": "keys", "tv_post": "patch"} and engine.metrics.patched == 1
+    assert_equal(engine)
+    t = engine.begin().update("tb_user", "pk_user = 1", {"name": "'both'"}).update("tb_post", "pk_post = 8", {"title": "'both'"})
+    t.commit()
+    assert t.strategies["tv_post"] == "keys"
+    assert_equal(engine)
+    assert lineage.embedded("SELECT pk_x, named_struct('a', named_struct('b', v_u.data)) AS data FROM x LEFT JOIN v_u ON v_u.pk_u = fk_u", "v_u") is None
+    assert lineage.embedded("SELECT pk_x, named_struct('b', v_u.data) AS data FROM x JOIN v_u ON v_u.pk_u = fk_u", "v_u") is None
+    assert lineage.embedded("SELECT pk_x, named_struct('b', v_u.data) AS data FROM x LEFT JOIN v_u ON v_u.pk_u = fk_u WHERE v_u.data.name > 'a'", "v_u") is None
+
+
+def test_prepared_changes_do_not_overwrite_newer_rows(engine, spark):
+    engine.begin().update("tb_post", "pk_post = 1", {"title": "'PREP'"}).prepare("g5")
+    engine.apply(lambda t: t.update("tb_post", "pk_post = 1", {"fk_user": "4"}))
+    with pytest.raises(LockConflict):
+        engine.commit_prepared("g5")
+    assert engine.recover_prepared(0)[0][2].startswith("error") and engine.rollback_prepared("g5")
+    engine.begin().update("tb_post", "pk_post = 2", {"title": "'PREP'"}).prepare("g6")
+    kept = engine.files.read("pending/g6.json")
+    assert engine.commit_prepared("g6")["status"] == "processed"
+    engine.apply(lambda t: t.update("tb_post", "pk_post = 2", {"title": "'LATER'"}))
+    assert engine.files.create("pending/g6.json", kept)  # as after a crash before its deletion
+    assert engine.commit_prepared("g6") == {"gid": "g6", "status": "processed"} and engine.prepared() == []
+    assert engine.table("tb_post").where("pk_post = 2").first().title == "LATER"
+    engine.files.create("locks/recover.json", {"at": 9e9})
+    assert engine.recover_prepared(0) == []
+    assert_equal(engine)
+
+
+def test_batch_ids_are_never_forgotten(engine, monkeypatch):
+    from docweave import engine as module
+
+    monkeypatch.setattr(module, "LEDGER", 3)
+    for i in range(9):
+        engine.apply(lambda t: t, f"b{i}")
+    assert len(engine.applied) <= 4
+    engine.reload()
+    assert all(engine.apply(lambda t: t.delete("tb_user", "true"), f"b{i}") == {"skipped": f"b{i}"} for i in range(9))
+
+
+def test_many_changes_fold_and_large_ones_are_staged(engine, spark, monkeypatch):
+    from docweave import changes
+    from docweave import engine as module
+
+    for i in range(8):
+        engine.apply(lambda t, i=i: t.update("tb_user", f"pk_user = {i % 6}", {"name": f"'n{i}'"}))
+    assert len(engine.tables["tb_user"].deltas) <= 7
+    assert_equal(engine)
+    monkeypatch.setattr(changes, "FEW", 2)
+    monkeypatch.setattr(changes, "LITERALS", 1)
+    monkeypatch.setattr(module, "FEW", 2)
+    engine.apply(lambda t: t.update("tb_user", "true", {"name": "concat(name, '?')"}).delete("tb_comment", "pk_comment % 2 = 0").update("tb_comment", "true", {"fk_post": "(fk_post + 1) % 20"}))
+    assert_equal(engine)
+    with pytest.raises(DuplicateKey):
+        engine.begin().insert("tb_user", spark.createDataFrame([(50, "a"), (50, "b"), (51, "c")], "pk_user long, name string"))
+    assert engine.cascade("tb_user", "pk_user = 1")["tv_user"] == {"rewritten": 0, "removed": 0}
+    assert engine.vacuum() > 0
+    engine.reload()
+    assert_equal(engine)
+
+
+def test_refresh_reaches_what_embeds_the_model(engine):
+    rows = engine.table("tv_user").where("pk_user = 1").withColumn("data", F.expr("named_struct('id', 1L, 'name', 'spoiled')"))
+    engine.tables["tv_user"] = engine.tables["tv_user"].merged(engine.spark, rows, rows.where("false"), engine.path)
+    engine.refresh("tv_post", cascade=False)
+    assert engine.table("tv_post").where("data.author.name = 'spoiled'").count() > 0
+    assert engine.refresh("tv_user") == ["tv_user", "tv_post"]
+    assert_equal(engine)
+
+
+def test_limits(engine, spark, tmp_path):
+    from docweave.engine import Config
+    from docweave.errors import PropagationDepthExceeded
+
+    with pytest.raises(PropagationDepthExceeded):
+        Engine(spark, engine.path, Config(propagation_iterations=1)).apply(lambda t: t.update("tb_user", "pk_user = 1", {"name": "'deep'"}))
+
+
+def test_convert_and_namespaces(engine, spark, tmp_path):
+    spark.createDataFrame([(1, "a", 2, "x"), (2, "b", 3, "y")], "pk_old long, id string, fk_user long, t string").selectExpr("pk_old", "id", "named_struct('t', t, 'fk_post', 1) AS data").write.parquet(f"{tmp_path}/old")
+    assert engine.infer_bases(f"file://{tmp_path}/old") == ["tb_post"]
+    assert engine.infer_bases(f"file://{tmp_path}/old", "TVIEW_BASES: tb_user, tb_none") == ["tb_user"]
+    engine.convert("tv_old", f"file://{tmp_path}/old")
+    assert engine.models["tv_old"].sources == ("tb_post", "tv_old_rows") and engine.table("tv_old").count() == 2
+    with pytest.raises(RequiredColumnMissing):
+        engine.convert("tv_bad", f"file://{tmp_path}/tb_user")
+    engine.sql("CREATE TABLE app.tv_names AS SELECT pk_user AS pk_names, named_struct('n', name) AS data FROM tb_user")
+    assert engine.models["tv_names"].namespace == "app" and engine.sql("SELECT * FROM app.tv_names JOIN v_names USING (pk_names)").count() == 6
+    engine.create("tv_cte", "WITH u AS (SELECT * FROM tb_user) SELECT pk_user AS pk_cte, named_struct('n', name) AS data FROM u", "tb_user")
+    engine.apply(lambda t: t.update("tb_user", "pk_user = 1", {"name": "'cte'"}))
+    assert_equal(engine)
+
+
+def test_references():
+    names = {"a", "b", "s.c", "items"}
+    found = lineage.references("SELECT a.x, items, '(FROM b)' FROM a, (SELECT * FROM b AS bb WHERE y IN (SELECT z FROM s.c)) t JOIN LATERAL (SELECT 1 FROM items) l ON true -- , b\n LEFT JOIN a a2 ON a2.x = a.x", names)
+    assert [(r.name, r.alias, r.depth) for r in found] == [("a", "a", 0), ("b", "bb", 1), ("s.c", "c", 2), ("items", "items", 1), ("a", "a2", 0)]
