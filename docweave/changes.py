@@ -54,7 +54,8 @@ def few(df: DataFrame) -> tuple[pa.Table, T.StructType] | None:
     if not arrow_ready(df.schema):
         return None
     df = df.select(*[F.col(f.name).cast(nullable(f.dataType)).alias(f.name) for f in df.schema])
-    rows = df.limit(FEW + 1).toArrow()
+    # one job: a bare limit would try some partitions first, then more
+    rows = df.limit(FEW + 1).coalesce(1).toArrow()
     return (rows, df.schema) if rows.num_rows <= FEW else None
 
 
@@ -131,6 +132,12 @@ class Changes:
         return column.to_pylist()
 
 
+def keys_frame(spark: SparkSession, values, key_type: T.DataType) -> DataFrame:
+    """Keys as column ``k`` of a local relation."""
+    schema = T.StructType([T.StructField("k", key_type)])
+    return local_frame(spark, pa.Table.from_arrays([pa.array(list(values), to_arrow_schema(schema).field(0).type)], names=["k"]), schema)
+
+
 @dataclass
 class Keys:
     """Distinct keys of one model as column ``k``."""
@@ -142,7 +149,7 @@ class Keys:
     @staticmethod
     def of(spark: SparkSession, found: set, key_type: T.DataType) -> Keys:
         values = sorted(found)
-        return Keys(spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField("k", key_type)])), len(values), values)
+        return Keys(keys_frame(spark, values, key_type), len(values), values)
 
     @staticmethod
     def among(df: DataFrame, folder: str) -> Keys:

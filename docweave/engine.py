@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.changes import FEW, Changes, Keys, compared, delta_of, few
+from docweave.changes import FEW, Changes, Keys, compared, delta_of, few, keys_frame
 from docweave.errors import (
     DependencyUnresolved,
     DuplicateKey,
@@ -715,7 +715,7 @@ class Transaction:
             return None
 
         def rows_of(values: set) -> DataFrame:
-            return self.spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField("k", key)]))
+            return keys_frame(self.spark, values, key)
 
         def find() -> Keys:
             if not plans:
