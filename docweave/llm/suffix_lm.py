@@ -3,60 +3,55 @@
 A text is the sequence of its lower-cased (A-Z) words and one end; written out, each word is its bytes
 and a blank, the end a line feed, so that a probability of the byte sequence is one of the tokens.
 The tree's contexts are byte strings of up to DEPTH symbols. Candidates are those seen LEAST_COUNT times,
-whatever the corpus size; one stays if the divergence of its next-symbol distribution from that of its
-longest suffix, weighted by its count, passes LEAST_GAIN nats, or if it is part of a context that does.
-Distributions are smoothed towards the suffix's by the number of distinct symbols seen (Witten-Bell).
-A symbol's probability is that of the longest kept suffix of what was read.
-
-The tree grows with the corpus, so it is a partitioned table: level by level, runs of d + 1 symbols are
-joined to those of d. Each run of DEPTH + 1 symbols of the texts then has its probability, which blocks of
-texts fetch by a join; those of the commonest runs (CACHE) are broadcast to save shuffling them.
-
-Counts cover every training text: tasks count symbol runs and words, Spark adds them up. The scores need
-each word's count and each run's probability beside the texts: tasks file the distinct words and runs of
-blocks of texts, the tables are joined to these, and block and values meet again by the block's number, so
-no vocabulary or tree is ever broadcast or held whole in a task. Blocks are numbered twice, for their needs
-and for their texts: an input whose rows could come in another order when a task runs again (after an
-exchange) is written to the shared folder first.
-
-A text's score is the sum of its symbols' log10 probabilities, so long words have no floor. It is a proper
-distribution over all texts, unlike the base score, which gives each of the endless unseen words a share of
-1 / (N + V + 1): the base score of a text with many unseen words can therefore be the higher one.
+whatever the corpus size; one is retained if the divergence of its next-symbol distribution from that of its
+longest suffix, weighted by its count, passes LEAST_GAIN nats. Distributions are smoothed towards the
+suffix's by the number of distinct symbols seen (Witten-Bell). A symbol's probability is that of the longest
+retained suffix of what was read. A text's score is the sum of its symbols' log10 probabilities, so long words
+have no floor; it is a proper distribution over all texts, unlike the base score, which gives each of the
+endless unseen words a share of 1 / (N + V + 1) and can therefore be the higher one for texts with many.
+
+The tree grows with the corpus and is never whole anywhere. All contexts that share their last SHORT symbols
+depend on each other and on a table of the contexts of up to SHORT symbols alone, so that runs of DEPTH + 1
+symbols are dealt into buckets by these. One pass over the texts files, by bucket, the counts of training runs
+and the distinct runs of each block of texts; a bucket adds its counts up, evaluates its part of the tree and
+answers each block with the probabilities of its runs, in their order; words and their counts go the same way.
+Blocks and answers meet by the block's number. The number of buckets grows with the corpus, so a bucket's size
+doesn't; suffixes that are much commoner than a bucket is large are dealt by one more symbol.
+
+Blocks are numbered twice, when runs are filed and when they are scored: an input whose rows could come in
+another order when a task runs again (after an exchange) is written to the shared folder first.
 
 Defined results: a null text is an empty one (only the end); repeated rows score alike and count each
 in training; null ids are not held out; an empty training set gives uniform symbols; an empty table
-gives an empty result; extra columns are ignored. Words are identified by 64-bit hashes.
+gives an empty result; extra columns are ignored. Words are identified by 64-bit hashes. Memory is bounded by
+a block of texts or one long text, and by a bucket's distinct runs.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from docweave.llm.common import IS_SPACE, chunks, dropped, lowered, span_hashes, staged, text_bytes, word_spans
+from docweave.llm.common import IS_SPACE, chunks, dropped, free_name, lowered, mix, span_hashes, staged, text_bytes, word_spans
 
-DEPTH = 6
+DEPTH, SHORT = 6, 3
 #: Nats that a context must save, and how often it must occur.
 LEAST_GAIN, LEAST_COUNT = 4.0, 4
-#: Runs whose probabilities are broadcast, the commonest ones; the others are joined.
-CACHE = 2_000_000
 BLANK, END = 0x20, 0x0A
 #: The hash that stands for the end token among words.
 END_WORD = np.uint64(0x454E44)
-#: Bytes of text in a block; entries that a task gathers before it adds equal ones up; bytes of text worked on at once.
-BLOCK, GATHER, PIECE = 4 << 20, 4 << 20, 1 << 20
-#: Symbols that a lane of the automaton reads.
-SEGMENT = 256
+#: Bytes of text in a block; entries that a task gathers before it adds equal ones up; bytes of text worked on at once; symbols in a bucket.
+BLOCK, GATHER, PIECE, BUCKET = 3 << 20, 4 << 20, 1 << 20, 8 << 20
 
 
 def spelled(buf: np.ndarray, offsets: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, tuple]:
@@ -102,190 +97,309 @@ def runs(symbols: np.ndarray, begins: np.ndarray, depth: int) -> np.ndarray:
     return code[scored[depth:]]
 
 
-def by_training(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, bool]]:
-    """The rows that train and those that don't, as far as there are any."""
-    trains = batch.column("trains")
-    for part, kind in ((batch.filter(trains), True), (batch.filter(pc.invert(trains)), False)):
-        if part.num_rows:
-            yield part, kind
+def low(codes: np.ndarray, symbols: int) -> np.ndarray:
+    """The last ``symbols`` symbols of codes."""
+    return codes & np.uint64((1 << (8 * symbols)) - 1)
 
 
-def counted(df: DataFrame, training: Column, text: str, depth: int = DEPTH) -> DataFrame:
-    """Corpus counts: of words (hashes, the end as END_WORD) and of runs of depth + 1 symbols (``run``). Runs
-    that only other texts hold count zero."""
-    schema = "run boolean, code long, n long"
+def levels(codes: np.ndarray, n: np.ndarray, p: np.ndarray, v: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted distinct runs of ``most`` + 1 symbols with their counts: the smoothed probability after the
+    context of ``most`` symbols, and that after its longest retained suffix. ``p``, ``v``: the same for contexts of
+    ``least`` symbols. The runs must be all there are of every context."""
+    for d in range(least + 1, most + 1):
+        code, first, where = np.unique(low(codes, d + 1), return_index=True, return_inverse=True)
+        if not len(code):
+            break
+        count = np.bincount(where, weights=n, minlength=len(code))
+        above, shorter = p[first], v[first]
+        cut = np.flatnonzero(np.concatenate([[True], (code[1:] >> np.uint64(8)) != (code[:-1] >> np.uint64(8))]))
+        many = np.diff(np.append(cut, len(code)))
+        size = np.repeat(np.add.reduceat(count, cut), many)
+        kinds = np.repeat(np.add.reduceat((count > 0).astype(float), cut), many)
+        seen = size >= LEAST_COUNT
+        with np.errstate(divide="ignore", invalid="ignore"):
+            own = np.where(seen, (count + kinds * above) / (size + kinds), above)
+            gain = np.where(count > 0, count * np.log(count / size / above), 0.0)
+        retained = seen & (np.repeat(np.add.reduceat(gain, cut), many) >= LEAST_GAIN)
+        p, v = own[where], np.where(retained, own, shorter)[where]
+    return p, v
+
+
+def tallied(df: DataFrame, training: Column, text: str) -> DataFrame:
+    """Counts (code, n) of runs of SHORT + 1 symbols in training texts; zero for those of other texts only. The
+    code -1 has the number of symbols of all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, counts, symbols_ = [], [], 0
+        for batch in chunks(batches, "text", PIECE):
+            symbols, begins, _ = spelled(*_lower(batch.column("text")), SHORT)
+            found = runs(symbols, begins, SHORT)
+            symbols_ += len(found)
+            trains = np.repeat(batch.column("trains").to_numpy(zero_copy_only=False), np.diff(begins) - SHORT)
+            code, where = np.unique(found, return_inverse=True)
+            held.append(code)
+            counts.append(np.bincount(where, weights=trains, minlength=len(code)).astype(np.int64))
+            if sum(map(len, held)) > GATHER:
+                code, n = summed(held, counts)
+                held, counts = [code], [n]
+        code, n = summed(held, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(code.astype(np.int64), -1)), pa.array(np.append(n, symbols_))], names=["code", "n"])
+
+    parts = df.select(F.col(text).alias("text"), training.alias("trains")).mapInArrow(run, "code long, n long")
+    return parts.groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def _lower(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    buf, offsets = text_bytes(column)
+    return lowered(buf), offsets
+
+
+class Root:
+    """Distributions after no and after one symbol, from the counts of pairs: bounded by the bytes."""
+
+    def __init__(self, pairs: dict[int, int]):
+        count = np.zeros((256, 256))
+        for code, n in pairs.items():
+            count[code >> 8, code & 255] = n
+        total = count.sum()
+        p = (count.sum(axis=0) + 1) / (total + 256)
+        codes = np.arange(1 << 16, dtype=np.uint64)
+        self.p, self.v = levels(codes, count.ravel(), np.tile(p, 256), np.tile(p, 256), 0, 1)
+
+
+class Buckets:
+    """How runs and words are dealt: runs by the last SHORT symbols of their context, those that are hot by one more."""
+
+    def __init__(self, n: int, hot: np.ndarray):
+        self.n, self.hot = n, np.sort(hot)
+
+    def of_runs(self, codes: np.ndarray) -> np.ndarray:
+        suffix = low(codes >> np.uint64(8), SHORT)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, suffix), len(self.hot) - 1)
+            suffix = np.where(self.hot[at] == suffix, low(codes >> np.uint64(8), SHORT + 1) + np.uint64(1 << 40), suffix)
+        return (mix(suffix) % np.uint64(self.n)).astype(np.int64)
+
+    def of_words(self, hashes: np.ndarray) -> np.ndarray:
+        return (mix(hashes) % np.uint64(self.n)).astype(np.int64)
+
+    def all_of(self, code: int) -> np.ndarray:
+        """The buckets in which the context of a run of SHORT + 1 symbols is needed."""
+        return np.unique(self.of_runs(np.uint64(code) | (np.arange(256, dtype=np.uint64) << np.uint64(8 * (SHORT + 1)))))
+
+
+def turned(codes: np.ndarray) -> np.ndarray:
+    """Codes with the symbols that a bucket's runs share in front, so that sorted ones are near each other."""
+    older = codes >> np.uint64(8 * (SHORT + 1))
+    return low(codes, SHORT + 1) << np.uint64(32) | older
+
+
+def back(keys: np.ndarray) -> np.ndarray:
+    return (keys & np.uint64(0xFFFFFFFF)) << np.uint64(8 * (SHORT + 1)) | keys >> np.uint64(32)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """An array compressed, bytes of one place together."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes())
+
+
+def unpacked(raw: bytes, kind: str) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(flat.reshape(width, -1).T).view(kind).ravel()
+
+
+def ordered(keys: np.ndarray) -> bytes:
+    """Sorted keys, as packed differences."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def keys_of(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw, "<u8"), dtype=np.uint64)
+
+
+def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the places that have it, in their order."""
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    for a, b in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
+        yield int(bucket[order[a]]), order[a:b]
+
+
+# kinds of what is filed in a bucket: counts of runs and words (c, w), needs of a block (r, x), contexts of SHORT symbols (u)
+_FILED = "bucket long, kind string, block long, codes binary, numbers binary"
+
+
+def _filed(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "kind", "block", "codes", "numbers"])
+
+
+def contexts(short: DataFrame, root, buckets) -> DataFrame:
+    """The evaluated contexts of up to SHORT symbols, filed where the longer ones need them."""
+    last = F.shiftright("code", 8).bitwiseAND(F.lit(255).cast("long"))
+
+    def evaluated(codes: np.ndarray, n: np.ndarray) -> list[tuple]:
+        order = np.argsort(codes)
+        codes, n = codes[order], n[order].astype(float)
+        pair = low(codes, 2).astype(np.int64)
+        p, v = levels(codes, n, root.value.p[pair], root.value.v[pair], 1, SHORT)
+        b = buckets.value
+        suffix = codes >> np.uint64(8)
+        hot = np.isin(suffix, b.hot)
+        where = [(k, at) for k, at in by_bucket(b.of_runs(codes[~hot]))]
+        cool = np.flatnonzero(~hot)
+        filed: dict[int, list[np.ndarray]] = {k: [cool[at]] for k, at in where}
+        for s in np.unique(suffix[hot]):
+            mine = np.flatnonzero(suffix == s)
+            for k in b.all_of(int(s) << 8):
+                filed.setdefault(int(k), []).append(mine)
+        rows = []
+        for k, parts in filed.items():
+            at = np.sort(np.concatenate(parts))
+            rows.append((k, "u", 0, ordered(codes[at]), packed(np.concatenate([p[at], v[at]]))))
+        return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, tuple[list, list]] = {False: ([], []), True: ([], [])}
+        for batch in batches_of(batches):
+            yield _filed(evaluated(batch.column("code").to_numpy().astype(np.uint64), batch.column("n").to_numpy()))
+
+    return short.repartition(last).sortWithinPartitions(last).mapInArrow(run, _FILED)
+
+
+def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by the symbol before their last, all of one symbol at once: of at most 256 ** SHORT runs each."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        table = table.combine_chunks()
+        of = (table.column("code").to_numpy() >> 8) & 255
+        cut = int(np.searchsorted(of, of[-1])) if len(of) else 0
+        for part in table.slice(0, cut).combine_chunks().to_batches():
+            yield part
+        rest = table.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks().to_batches()[0]
+
+
+def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches with the number of the block of about BLOCK bytes that they are in."""
+    base, number, size = TaskContext.get().partitionId() << 32, 0, 0
+    for batch in chunks(batches, "text", BLOCK // 2):
+        size += pc.sum(pc.fill_null(pc.binary_length(batch.column("text")), 0)).as_py()
+        yield base + number, batch
+        if size > BLOCK // 2:
+            number, size = number + 1, 0
+
+
+def distinct(columns: list[pa.Array], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs, in turned order, and the distinct words of a block."""
+    found, words = [], []
+    for column in columns:
+        buf, offsets = _lower(column)
+        symbols, begins, spans = spelled(buf, offsets, depth)
+        found.append(np.unique(turned(runs(symbols, begins, depth))))
+        words.append(np.unique(span_hashes(buf, *spans[:2])))
+    return np.unique(np.concatenate(found)), np.unique(np.concatenate(words))
+
+
+def filed(df: DataFrame, text: str, training: Column, buckets, depth: int) -> DataFrame:
+    """By bucket: counts of training runs and words, as far as a task could add them up, and the needs of blocks."""
 
-        def emit(kind: bool) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = buckets.value
+        held: dict[str, tuple[list, list]] = {"c": ([], []), "w": ([], [])}
+        deal = {"c": lambda k: b.of_runs(back(k)), "w": b.of_words, "r": lambda k: b.of_runs(back(k)), "x": b.of_words}
+
+        def emit(kind: str) -> Iterator[pa.RecordBatch]:
             code, n = summed(*held[kind])
             held[kind] = ([], [])
-            for k in range(0, len(code), 1 << 17):
-                part = code[k : k + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind)), pa.array(part.view(np.int64)), pa.array(n[k : k + (1 << 17)])], names=["run", "code", "n"])
-
-        for batch, trains in ((part, trains) for whole in chunks(batches, "text", PIECE) for part, trains in by_training(whole)):
-            buf, offsets = text_bytes(batch.column("text"))
-            buf = lowered(buf)
-            symbols, begins, spans = spelled(buf, offsets, depth)
-            grams, often = np.unique(runs(symbols, begins, depth), return_counts=True)
-            found = [(True, grams, often if trains else np.zeros(len(grams)))]
-            if trains:
+            rows = [(k, kind, 0, ordered(code[at]), packed(n[at].astype("<u4") if n.max() < 1 << 32 else n[at])) for k, at in by_bucket(deal[kind](code))]
+            if rows:
+                yield _filed(rows)
+
+        def needs(block: int, parts: list[pa.Array]) -> pa.RecordBatch:
+            return _filed([(k, kind, block, ordered(code[at]), None) for kind, code in zip("rx", distinct(parts, depth), strict=True) for k, at in by_bucket(deal[kind](code))])
+
+        now, parts = None, []
+        for block, batch in numbered(batches):
+            if now is not None and block != now:
+                yield needs(now, parts)
+                parts = []
+            now = block
+            parts.append(batch.column("text"))
+            trained = batch.filter(batch.column("trains"))
+            for piece in chunks(iter([trained]), "text", PIECE):
+                buf, offsets = _lower(piece.column("text"))
+                symbols, begins, spans = spelled(buf, offsets, depth)
                 words, times = np.unique(span_hashes(buf, *spans[:2]), return_counts=True)
-                found.append((False, np.append(words, END_WORD), np.append(times, batch.num_rows)))
-            for kind, code, n in found:
-                held[kind][0].append(code)
-                held[kind][1].append(n.astype(np.int64))
-                if sum(map(len, held[kind][0])) > GATHER:
-                    code, n = summed(*held[kind])
-                    held[kind] = ([code], [n])
-                    if len(code) > GATHER // 2:
-                        yield from emit(kind)
+                order = np.argsort(words := np.append(words, END_WORD))
+                for kind, code, n in (("c", *np.unique(turned(runs(symbols, begins, depth)), return_counts=True)), ("w", words[order], np.append(times, piece.num_rows)[order])):
+                    held[kind][0].append(code)
+                    held[kind][1].append(n.astype(np.int64))
+                    if sum(map(len, held[kind][0])) > GATHER:
+                        code, n = summed(*held[kind])
+                        held[kind] = ([code], [n])
+                        if len(code) > GATHER // 2:
+                            yield from emit(kind)
+        if now is not None:
+            yield needs(now, parts)
         for kind in held:
-            yield from emit(kind)
-
-    parts = df.select(F.col(text).alias("text"), F.coalesce(training, F.lit(False)).alias("trains")).mapInArrow(run, schema)
-    # equal codes of a task are added up already; dealt out before the sum, so that Spark doesn't try it again first
-    return parts.repartition("run", "code").groupBy("run", "code").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Tree:
-    """The automaton: symbol classes, transitions and log10 probabilities (state, class)."""
-
-    depth: int
-    classes: np.ndarray
-    moves: np.ndarray
-    logs: np.ndarray
-    contexts: list[bytes]
-
-    def tokens(self, symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """log10 probability of each token of rows of symbols spelled with one line feed in front: the
-        words of a row with their blank, then its end."""
-        x = self.classes[symbols]
-        x[begins[:-1]] = self.moves.shape[1] - 1  # the start: to the start state, unscored
-        n, width = len(x), self.moves.shape[1]
-        lanes = max(1, -(-n // SEGMENT))
-        padded = np.full(self.depth + lanes * SEGMENT, width - 1, x.dtype)
-        padded[self.depth : self.depth + n] = x
-        moves, logs = self.moves.ravel(), self.logs.ravel()
-        state = np.zeros(lanes, np.int64)
-        out = np.zeros((SEGMENT, lanes), np.float32)
-        at = np.arange(lanes) * SEGMENT
-        for t in range(self.depth + SEGMENT):
-            cell = state * width + padded[at + t]
-            if t >= self.depth:
-                np.take(logs, cell, out=out[t - self.depth])
-            state = moves[cell].astype(np.int64)
-        sums = np.cumsum(out.T.ravel()[:n], dtype=np.float64)
-        last = (symbols == BLANK) | (symbols == END)
-        last[begins[:-1]] = False
-        return np.diff(sums[last], prepend=0.0)
-
-
-def grow(pairs: list[tuple[int, int, int]], total: int, depth: int = DEPTH) -> Tree:
-    """The tree of (context length, code of context and symbol, count) in one process: what ``probabilities``
-    is held against."""
-    seen = sorted({c & 255 for d, c, _ in pairs if d == 0} | {BLANK, END})
-    classes = np.full(256, len(seen), np.int16)
-    classes[seen] = np.arange(len(seen))
-    k = len(seen) + 1
-    root = np.full(k, 1.0)
-    for d, c, n in pairs:
-        if d == 0:
-            root[classes[c]] += n
-    # by context: its counts; the probability in each cell is that of one byte
-    probs: dict[bytes, np.ndarray] = {b"": (root / (total + 256)).astype(np.float32)}
-    kept: set[bytes] = {b""}
-    by: list[dict[int, list[tuple[int, int]]]] = [{} for _ in range(depth + 1)]
-    for d, c, n in pairs:
-        if d:
-            by[d].setdefault(c >> 8, []).append((c & 255, n))
-    for d in range(1, depth + 1):
-        for code, found in by[d].items():
-            context = code.to_bytes(d, "big")
-            above = probs[context[1:]]
-            cells = classes[[a for a, _ in found]]
-            n = np.array([c for _, c in found], np.float64)
-            size, kinds = n.sum(), len(n)
-            own = (kinds / (size + kinds) * above).astype(np.float32)
-            own[cells] += (n / (size + kinds)).astype(np.float32)
-            probs[context] = own
-            if (n * np.log(n / size / above[cells])).sum() >= LEAST_GAIN:
-                for i in range(d):
-                    for j in range(i + 1, d + 1):
-                        kept.add(context[i:j])
-    contexts = sorted((c for c in kept if c in probs), key=lambda c: (len(c), c))
-    number = {c: i for i, c in enumerate(contexts)}
-    moves = np.zeros((len(contexts), k + 1), np.int32)
-    logs = np.zeros((len(contexts), k + 1), np.float32)
-    after: dict[bytes, list[bytes]] = {}
-    for c in contexts[1:]:
-        after.setdefault(c[:-1], []).append(c)
-    for i, c in enumerate(contexts):
-        if i:
-            moves[i] = moves[number[c[1:]]]
-        for longer in after.get(c, ()):
-            moves[i, classes[longer[-1]]] = number[longer]
-        logs[i, :k] = np.log10(probs[c])
-    start = next(number[bytes([END]) * d] for d in range(depth, -1, -1) if bytes([END]) * d in number)
-    moves[:, k] = start
-    return Tree(depth, classes, moves, logs, contexts)
-
-
-def low(code: Column | str, symbols: int) -> Column:
-    """The last ``symbols`` symbols of a code."""
-    return (F.col(code) if isinstance(code, str) else code).bitwiseAND(F.lit((1 << (8 * symbols)) - 1).cast("long"))
-
-
-def probabilities(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """code, n and value of every run of depth + 1 symbols (code, n): the log10 probability of its last symbol
-    after the longest kept suffix of the others. The levels' own tables go once these are written."""
-    total = int(grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    counts = [grams.groupBy(low("code", d + 1).alias("code")).agg(F.sum("n").alias("n")) for d in range(depth)] + [grams]
-    levels = [staged(counts[0].select("code", "n", ((F.col("n") + 1) / F.lit(float(total + 256))).alias("p")), "lm-level")]
-    kept = None
-    of = Window.partitionBy("context")
-    for d in range(1, depth + 1):
-        above = levels[-1].select(F.col("code").alias("up"), F.col("p").alias("above"))
-        level = counts[d].withColumn("up", low("code", d)).join(above, "up").withColumn("context", F.shiftright("code", 8))
-        level = level.withColumn("size", F.sum("n").over(of)).withColumn("kinds", F.sum((F.col("n") > 0).cast("long")).over(of))
-        saved = F.when(F.col("n") > 0, F.col("n") * F.ln(F.col("n") / F.col("size") / F.col("above"))).otherwise(0.0)
-        enough = F.col("size") >= LEAST_COUNT
-        p = F.when(enough, (F.col("n") + F.col("kinds") * F.col("above")) / (F.col("size") + F.col("kinds"))).otherwise(F.col("above"))
-        level = level.withColumn("gain", F.sum(saved).over(of))
-        levels.append(staged(level.select("code", "n", p.alias("p"), (enough & (F.col("gain") >= LEAST_GAIN)).alias("passes")), "lm-level"))
-        # a context that passes keeps all its parts
-        passing = levels[-1].where("passes").select(F.shiftright("code", 8).alias("context")).distinct()
-        parts = [F.struct(F.lit(j - i).alias("d"), low(F.shiftright("context", 8 * (d - j)), j - i).alias("context")) for i in range(d) for j in range(i + 1, d + 1)]
-        found = passing.select(F.explode(F.array(*parts)).alias("x")).select("x.d", "x.context")
-        kept = found if kept is None else kept.unionByName(found)
-    kept = staged(kept.distinct(), "lm-kept")
-    out = levels[0]
-    for d in range(1, depth + 1):
-        shorter = out.select(F.col("code").alias("up"), F.col("p").alias("shorter"))
-        own = kept.where(F.col("d") == d).select("context", F.lit(True).alias("kept"))
-        level = levels[d].withColumn("context", F.shiftright("code", 8)).join(own, "context", "left").withColumn("up", low("code", d)).join(shorter, "up")
-        out = level.select("code", "n", F.when(F.col("kept"), F.col("p")).otherwise(F.col("shorter")).alias("p"))
-    out = staged(out.select("code", "n", F.log10("p").alias("value")), "lm-runs")
-    dropped(*levels, kept)
-    return out
+            if held[kind][0]:
+                yield from emit(kind)
 
+    return df.select(F.col(text).alias("text"), training.alias("trains")).mapInArrow(run, _FILED)
 
-def commonest(table: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """The least count from which there are at most ``most`` runs, and the codes and values of these, by code."""
-    eighth = F.floor(F.log2("n") * 8)
-    least, total = 1 << 62, 0
-    for b, n, runs_ in sorted(table.where("n > 0").groupBy(eighth.alias("b")).agg(F.min("n"), F.count("*")).collect(), reverse=True):
-        total += runs_
-        if total > most:
-            break
-        least = n
-    rows = table.where(F.col("n") >= least).select("code", F.col("value").cast("float")).toArrow()
-    code = rows.column(0).to_numpy().astype(np.uint64)
-    order = np.argsort(code)
-    return least, code[order], rows.column(1).to_numpy()[order]
+
+def answered(rows: DataFrame, depth: int) -> DataFrame:
+    """Per bucket the answers to its blocks: log10 probabilities of their runs, counts of their words; and, as
+    block -1, how many tokens, distinct ones and ends there were in training."""
+    schema = "block long, bucket long, run boolean, tokens long, kinds long, ends long, numbers binary"
+    arrow_schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("run", pa.bool_()), ("tokens", pa.int64()), ("kinds", pa.int64()), ("ends", pa.int64()), ("numbers", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        of: dict[str, list] = {k: [] for k in "cwrxu"}
+        for kind, block, codes, numbers in zip(*[table.column(c).to_pylist() for c in ("kind", "block", "codes", "numbers")], strict=True):
+            of[kind].append((block, codes, numbers))
+        out = []
+
+        def added(kind: str) -> tuple[np.ndarray, np.ndarray]:
+            codes, counts = [], []
+            for _, raw, numbers in of[kind]:
+                codes.append(keys_of(raw))
+                flat = zstandard.ZstdDecompressor().decompress(numbers)
+                counts.append(unpacked(numbers, "<u4" if len(flat) == 4 * len(codes[-1]) else "<i8").astype(np.int64))
+                if sum(map(len, codes)) > GATHER:
+                    code, n = summed(codes, counts)
+                    codes, counts = [code], [n]
+            return summed(codes, counts)
+
+        words, times = added("w")
+        end = times[words == END_WORD]
+        out.append((-1, bucket, False, int(times.sum()), len(words), int(end.sum()), b""))
+        for block, raw, _ in of["x"]:
+            out.append((block, bucket, False, 0, 0, 0, packed(looked_up((words, times), keys_of(raw), 0).astype("<i8"))))
+        if of["r"]:
+            needed = np.unique(np.concatenate([keys_of(raw) for _, raw, _ in of["r"]]))
+            codes = np.sort(back(needed))
+            key, n = added("c")
+            count = looked_up((key, n), turned(codes), 0)
+            upper = [(keys_of(raw), unpacked(numbers, "<f8")) for _, raw, numbers in of["u"]]
+            up = np.concatenate([k for k, _ in upper])
+            order = np.argsort(up)
+            p, v = (np.concatenate([x[: len(k)] if first else x[len(k) :] for k, x in upper])[order] for first in (True, False))
+            at, there = places(up[order], low(codes, SHORT + 1))
+            if not there.all():
+                raise ValueError("a context without its suffix")
+            _, v = levels(codes, count, p[at], v[at], SHORT, depth)
+            logs = np.log10(v)[np.argsort(turned(codes), kind="stable")]
+            for block, raw, _ in of["r"]:
+                out.append((block, bucket, True, 0, 0, 0, packed(logs[np.searchsorted(needed, keys_of(raw))].astype("<f4"))))
+        pa.default_memory_pool().release_unused()
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow_schema.types, strict=True)], schema=arrow_schema)
+
+    return rows.groupBy("bucket").applyInArrow(run, schema)
 
 
 def places(table: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -296,111 +410,83 @@ def places(table: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, table[at] == codes
 
 
+def looked_up(table: tuple[np.ndarray, np.ndarray], codes: np.ndarray, missing: float) -> np.ndarray:
+    """The values of ``codes`` in a table of sorted codes and values."""
+    at, there = places(table[0], codes)
+    out = np.full(len(codes), missing, np.float64)
+    out[there] = table[1][at[there]]
+    return out
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df``, written out if its rows could come in another order in a second evaluation."""
     return staged(df, "lm-input") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
 
 
 def blocks(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep`` and the text, with the number of the block of about BLOCK bytes that the row is in."""
+    """``keep`` and the text, with the number of the row's block."""
     schema = T.StructType([T.StructField("block", T.LongType()), *[df.schema[c] for c in keep], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, number, size = TaskContext.get().partitionId() << 32, 0, 0
-        for batch in chunks(batches, "text", BLOCK):
-            size += batch.column("text").nbytes
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, base + number)), *batch.columns], names=schema.names)
-            if size > BLOCK // 2:
-                number, size = number + 1, 0
+        for number, batch in numbered(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, number)), *batch.columns], names=schema.names)
 
     return df.select(*keep, F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def looked_up(table: tuple[np.ndarray, np.ndarray], codes: np.ndarray, missing: float) -> np.ndarray:
-    """The values of ``codes`` in a table of sorted codes and values."""
-    at, there = places(table[0], codes)
-    out = np.full(len(codes), missing, np.float64)
-    out[there] = table[1][at[there]]
-    return out
-
-
-def block_needs(blocked: DataFrame, common: Broadcast, depth: int) -> DataFrame:
-    """Distinct word hashes of each block, and its distinct runs (``run``) that aren't among the commonest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            number = batch.column("block").to_numpy()
-            for value in np.unique(number):
-                where = np.flatnonzero(number == value)
-                words, grams = [], []
-                for part in chunks(iter([batch.slice(where[0], len(where))]), "text", PIECE):
-                    buf, offsets = text_bytes(part.column("text"))
-                    buf = lowered(buf)
-                    symbols, begins, spans = spelled(buf, offsets, depth)
-                    words.append(np.unique(span_hashes(buf, *spans[:2])))
-                    found = np.unique(runs(symbols, begins, depth))
-                    grams.append(found[~places(common.value[0], found)[1]])
-                for kind, codes in ((False, words), (True, grams)):
-                    code = np.unique(np.concatenate(codes))
-                    for k in range(0, len(code), 1 << 17):
-                        some = code[k : k + (1 << 17)].view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), value)), pa.array(np.full(len(some), kind)), pa.array(some)], names=["block", "run", "code"])
-
-    return blocked.select("block", "text").mapInArrow(run, "block long, run boolean, code long")
-
-
 def score(df: DataFrame, training: Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",), depth: int = DEPTH) -> DataFrame:
     """``keep`` with n_tokens, n_known, train_tokens, base_score and score; the model and the counts come
     from the rows for which ``training`` holds."""
     kept = list(keep)
-    counts = staged(counted(df, training, text, depth), "lm-counts")
-    words = counts.where("not run").select("code", "n")
-    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    end_count = (words.where(F.col("code") == int(END_WORD)).first() or (0, 0))[1]
-    table = probabilities(counts.where("run").select("code", "n"), depth)
-    least, *held = commonest(table, CACHE)
-    common = df.sparkSession.sparkContext.broadcast(tuple(held))
-    norm = math.log10(tokens + distinct + 1)
-
-    blocked = blocks(settled(df.select(*dict.fromkeys([*kept, text]))), text, kept)
-    values = words.select(F.lit(False).alias("run"), "code", F.col("n").cast("double").alias("value"))
-    values = values.unionByName(table.where(F.col("n") < least).select(F.lit(True).alias("run"), "code", "value"))
-    known = block_needs(blocked, common, depth).join(values, ["run", "code"]).select("block", "run", "code", "value")
+    context = df.sparkSession.sparkContext
+    trains = free_name(df, "trains_")
+    df = settled(df.select(*dict.fromkeys([*kept, text]), F.coalesce(training, F.lit(False)).alias(trains)))
+    tally = staged(tallied(df, F.col(trains), text), "lm-short")
+    symbols = (tally.where("code = -1").first() or (0, 0))[1] or 0
+    short = tally.where("code <> -1")
+    pair = F.col("code").bitwiseAND(F.lit(0xFFFF).cast("long"))
+    # at most 65,536 pairs, and suffixes of which each has a quarter of a bucket or more
+    root = context.broadcast(Root({r[0]: r[1] for r in short.groupBy(pair.alias("pair")).agg(F.sum("n")).collect()}))
+    many = max(1, -(-symbols // BUCKET))
+    hot = short.groupBy(F.shiftright("code", 8).alias("suffix")).agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET // 4).select("suffix").toArrow() if many > 1 else None
+    buckets = context.broadcast(Buckets(many, hot.column(0).to_numpy().astype(np.uint64) if hot is not None else np.zeros(0, np.uint64)))
+    rows = filed(df, text, F.col(trains), buckets, depth).unionByName(contexts(short, root, buckets))
+    found = staged(answered(rows, depth), "lm-answers")
+    tokens, kinds, ends = found.where("block = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "kinds", "ends")]).first()
+    norm = math.log10(tokens + kinds + 1)
+
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
     schema = T.StructType([*[df.schema[c] for c in kept], *fields])
     arrow_schema = to_arrow_schema(schema)
 
-    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
-        kind, codes, numbers = (found.column(c).to_numpy() for c in ("run", "code", "value"))
-        lookup = []
-        for one in (~kind, kind):
-            code, value = codes[one].view(np.uint64), numbers[one]
-            order = np.argsort(code)
-            lookup.append((code[order], value[order]))
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        parts = list(chunks(iter(texts.combine_chunks().to_batches()), "text", PIECE))
+        keys, words = distinct([part.column("text") for part in parts], depth)
+        logs, times = np.full(len(keys), np.nan, np.float32), np.zeros(len(words), np.int64)
+        answer = {(run_, k): raw for run_, k, raw in zip(*[answers.column(c).to_pylist() for c in ("run", "bucket", "numbers")], strict=True)}
+        for k, at in by_bucket(buckets.value.of_runs(back(keys))):
+            logs[at] = unpacked(answer[True, k], "<f4")
+        for k, at in by_bucket(buckets.value.of_words(words)):
+            times[at] = unpacked(answer[False, k], "<i8")
         out = []
-        for batch in chunks(iter(rows.combine_chunks().to_batches()), "text", PIECE):
-            buf, offsets = text_bytes(batch.column("text"))
-            buf = lowered(buf)
-            symbols, begins, (starts, ends, owner) = spelled(buf, offsets, depth)
-            c = looked_up(lookup[0], span_hashes(buf, starts, ends), 0).astype(np.int64)
+        for batch in parts:
+            buf, offsets = _lower(batch.column("text"))
+            symbols_, begins, (starts, ends_, owner) = spelled(buf, offsets, depth)
             size = batch.num_rows
             n_tokens = np.bincount(owner, minlength=size).astype(np.int64) + 1
             # every row's words, then its end
             row = np.repeat(np.arange(size), n_tokens)
-            times = np.full(len(row), end_count, np.int64)
-            times[np.arange(len(owner)) + owner] = c
-            grams, where = np.unique(runs(symbols, begins, depth), return_inverse=True)
-            logs = looked_up(common.value, grams, np.nan)
-            rare = np.isnan(logs)
-            logs[rare] = looked_up(lookup[1], grams[rare], np.nan)
-            if np.isnan(logs).any():
-                raise ValueError("a run without a probability")
+            count = np.full(len(row), ends, np.int64)
+            count[np.arange(len(owner)) + owner] = times[np.searchsorted(words, span_hashes(buf, starts, ends_))]
+            code, where = np.unique(turned(runs(symbols_, begins, depth)), return_inverse=True)
             # a row's runs: those of its symbols but for the feeds in front
-            model = np.bincount(np.repeat(np.arange(size), np.diff(begins) - depth), weights=logs[where], minlength=size)
-            sums = [*[np.bincount(row, weights=x, minlength=size) for x in (times > 0, np.log10(times + 1.0) - norm)], model]
+            value = logs[np.searchsorted(keys, code)].astype(np.float64)[where]
+            sums = [np.bincount(row, weights=x, minlength=size) for x in (count > 0, np.log10(count + 1.0) - norm)]
+            sums.append(np.bincount(np.repeat(np.arange(size), np.diff(begins) - depth), weights=value, minlength=size))
             cols = [pa.array(n_tokens), pa.array(sums[0].astype(np.int64)), pa.array(np.full(size, tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
             out.append(pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], *cols], schema=arrow_schema))
         pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(out, schema=arrow_schema)
 
-    return blocked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, schema)
+    dropped(tally)
+    return blocks(df, text, kept).groupBy("block").cogroup(found.where("block >= 0").select("block", "bucket", "run", "numbers").groupBy("block")).applyInArrow(run, schema)

@@ -145,72 +145,6 @@ def test_language_model(docs, corpus):
     assert all(r.n_known == 0 for r in suffix_lm.score(docs, F.lit(False)).collect())
 
 
-def test_automaton_follows_the_longest_suffix():
-    r = random.Random(5)
-    texts = [prose(r, 200, "abc") for _ in range(20)]
-    buf, offsets = text_bytes(pa.array(texts))
-    symbols, begins, _ = suffix_lm.spelled(buf, offsets, 3)
-    counts = Counter(suffix_lm.runs(symbols, begins, 3).tolist())
-    pairs = Counter()
-    for c, k in counts.items():
-        for d in range(4):
-            pairs[(d, c & ((1 << 8 * (d + 1)) - 1))] += k
-    tree = suffix_lm.grow([(d, c, k) for (d, c), k in pairs.items()], sum(counts.values()), 3)
-    assert len(tree.contexts) > 5
-    assert np.allclose((10.0 ** tree.logs[:, : tree.moves.shape[1] - 2]).sum(axis=1) + 10.0 ** tree.logs[:, -2] * (256 - (tree.moves.shape[1] - 2)), 1, atol=1e-3)
-    symbols, begins, _ = suffix_lm.spelled(*text_bytes(pa.array(texts[:3] + ["", "zz a"])), 1)
-    got = tree.tokens(symbols, begins)
-    number, want = {c: i for i, c in enumerate(tree.contexts)}, []
-    for a, b in zip(begins[:-1], begins[1:], strict=True):
-        history, total = b"\n" * 3, 0.0
-        for s in symbols[a + 1 : b]:
-            state = next(number[history[-d:] if d else b""] for d in range(3, -1, -1) if (history[-d:] if d else b"") in number)
-            total += tree.logs[state, tree.classes[s]]
-            history += bytes([s])
-            if s in (32, 10):
-                want.append(total)
-                total = 0.0
-    assert np.allclose(got, want, atol=1e-4)
-
-
-def test_tree_table_equals_the_tree_and_keeps_rare_contexts(spark, monkeypatch):
-    """Joined levels against the tree of one process; a context of a few occurrences stays in a corpus of any size."""
-    r = random.Random(6)
-    texts = [prose(r, 150, "abc") + (" qzq" * 4 if i == 3 else "") for i in range(20)]
-    monkeypatch.setattr(suffix_lm, "LEAST_GAIN", 4.0)
-    buf, offsets = text_bytes(pa.array(texts))
-    symbols, begins, _ = suffix_lm.spelled(buf, offsets, 3)
-    counts = Counter(suffix_lm.runs(symbols, begins, 3).tolist())
-    other, at, _ = suffix_lm.spelled(*text_bytes(pa.array(["zz a", "cab qz"])), 3)
-    unseen = set(suffix_lm.runs(other, at, 3).tolist()) - counts.keys()
-    for times in (1, 1000):
-        frequent = {c: k * (times if ord("q") not in c.to_bytes(4, "big") else 1) for c, k in counts.items()}
-        pairs, sizes = Counter(), Counter()
-        for c, k in frequent.items():
-            for d in range(4):
-                pairs[(d, c & ((1 << 8 * (d + 1)) - 1))] += k
-                sizes[(d, (c & ((1 << 8 * (d + 1)) - 1)) >> 8)] += k
-        tree = suffix_lm.grow([(d, c, k) for (d, c), k in pairs.items() if d == 0 or sizes[(d, c >> 8)] >= suffix_lm.LEAST_COUNT], sum(frequent.values()), 3)
-        assert b"q" in tree.contexts
-        number = {c: i for i, c in enumerate(tree.contexts)}
-        rows = suffix_lm.probabilities(spark.createDataFrame([*frequent.items(), *((c, 0) for c in unseen)], "code long, n long"), 3).collect()
-        assert {x.code for x in rows} == frequent.keys() | unseen
-        for x in rows:
-            b = x.code.to_bytes(4, "big")
-            state = next(number[b[i:3]] for i in range(4) if b[i:3] in number)
-            assert math.isclose(x.value, tree.logs[state, tree.classes[b[3]]], abs_tol=1e-4)
-
-
-def test_contexts_of_six_symbols_that_save_little(spark):
-    """Only the sixth symbol back tells what follows, in ten occurrences (7 nats)."""
-    text = " ".join(["pabcdex", "qabcdey"] * 10)
-    symbols, begins, _ = suffix_lm.spelled(*text_bytes(pa.array([text])), suffix_lm.DEPTH)
-    counts = Counter(suffix_lm.runs(symbols, begins, suffix_lm.DEPTH).tolist())
-    rows = suffix_lm.probabilities(spark.createDataFrame(list(counts.items()), "code long, n long")).collect()
-    ends = [x.value for x in rows if x.code.to_bytes(8, "big").endswith((b"abcdex", b"abcdey"))]
-    assert len(ends) == 2 and min(ends) > math.log10(0.9)
-
-
 def plain_scores(texts, training, depth):
     """Scores by the definition, with dictionaries: counts by context, gains, kept contexts, longest suffixes."""
     spelt = [b"\n" * depth + b"".join(w.encode() + b" " for w in words_of(t)) + b"\n" for t in texts]
@@ -232,7 +166,7 @@ def plain_scores(texts, training, depth):
             if size >= suffix_lm.LEAST_COUNT:
                 probs[context] = {s: (of.get(s, 0) + len(of) * p) / (size + len(of)) for s, p in above.items()}
                 if sum(k * math.log(k / size / above[s]) for s, k in of.items()) >= suffix_lm.LEAST_GAIN:
-                    kept |= {context[i:j] for i in range(d) for j in range(i + 1, d + 1)}
+                    kept.add(context)
     longest = lambda h: next(h[i:] for i in range(len(h) + 1) if h[i:] in kept)
     return [math.fsum(math.log10(probs[longest(b[i - depth : i])][b[i]]) for i in range(depth, len(b))) for b in spelt]
 
@@ -252,13 +186,23 @@ def test_scores_follow_the_definition(spark):
     assert {x.doc_id: round(x.score, 3) for x in suffix_lm.score(df.repartition(3, "text"), F.col("doc_id") % 3 > 0).collect()} == {i: round(s, 3) for i, s in got.items()}
 
 
-def test_scores_do_not_depend_on_the_broadcast(docs, monkeypatch):
+def test_scores_do_not_depend_on_blocks_and_buckets(docs, monkeypatch):
     def scores():
-        return Counter((r.doc_id, r.n_tokens, round(r.score, 3)) for r in suffix_lm.score(docs, F.coalesce(F.col("doc_id") % 5 > 0, F.lit(False))).collect())
+        return Counter((r.doc_id, r.n_tokens, r.n_known, round(r.score, 3)) for r in suffix_lm.score(docs, F.coalesce(F.col("doc_id") % 5 > 0, F.lit(False))).collect())
+
+    whole = scores()
+    for name, value in (("BLOCK", 2000), ("BUCKET", 3000), ("GATHER", 2000), ("PIECE", 900)):
+        monkeypatch.setattr(suffix_lm, name, value)
+    assert scores() == whole
+
 
-    all_broadcast = scores()
-    monkeypatch.setattr(suffix_lm, "CACHE", 50)
-    assert scores() == all_broadcast
+def test_contexts_of_six_symbols_that_save_little(spark):
+    """Only the sixth symbol back tells what follows, in ten occurrences (7 nats); and a rare context stays in a large corpus."""
+    text = " ".join(["pabcdex", "qabcdey"] * 10)
+    for extra in ("", " zzz" * 20000):
+        rows = spark.createDataFrame([(0, text + extra), (1, "qabcdey pabcdex qabcdey"), (2, "qabcdey pabcdey qabcdey")], "doc_id long, text string")
+        got = {r.doc_id: r.score for r in suffix_lm.score(rows, F.col("doc_id") == 0).collect()}
+        assert got[1] - got[2] > 1
 
 
 # 4 -----------------------------------------------------------------------------------------------
