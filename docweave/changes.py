@@ -56,7 +56,7 @@ def few(df: DataFrame) -> tuple[pa.Table, T.StructType] | None:
     df = df.select(*[F.col(f.name).cast(nullable(f.dataType)).alias(f.name) for f in df.schema])
     # one job: a bare limit would try some partitions first, then more
     rows = df.limit(FEW + 1).coalesce(1).toArrow()
-    return (rows, df.schema) if rows.num_rows <= FEW else None
+    return (rows, nullable(df.schema)) if rows.num_rows <= FEW else None
 
 
 def alike(a, b) -> bool:

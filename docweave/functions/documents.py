@@ -35,8 +35,10 @@ def patch_element(array: Column, key: str, value: Column, patch: dict[str, Colum
 
 
 def insert_element(array: Column, element: Column, sort_key: str | None = None, descending: bool = False) -> Column:
-    """Appended, or in the order of ``sort_key``; equal keys stay in their order of arrival."""
-    joined = F.concat(F.coalesce(array, F.array().cast("array<void>")) if array is None else array, F.array(element))
+    """Appended, or in the order of ``sort_key`` with missing keys last; equal keys stay in their order of
+    arrival. A null array is an empty one."""
+    one = F.array(element)
+    joined = F.when(array.isNull(), one).otherwise(F.concat(array, one))
     if sort_key is None:
         return joined
     sign = -1 if descending else 1
@@ -44,7 +46,8 @@ def insert_element(array: Column, element: Column, sort_key: str | None = None,
 
     def order(a: Column, b: Column) -> Column:
         x, y = a["e"][sort_key], b["e"][sort_key]
-        return F.when(x < y, -sign).when(x > y, sign).otherwise(F.signum(a["i"] - b["i"]).cast("int"))
+        tie = F.signum(a["i"] - b["i"]).cast("int")
+        return F.when(x.isNull() & y.isNull(), tie).when(x.isNull(), 1).when(y.isNull(), -1).when(x < y, -sign).when(x > y, sign).otherwise(tie)
 
     return F.transform(F.array_sort(numbered, order), lambda s: s["e"])
 
@@ -63,6 +66,19 @@ def update_element_path(array: Column, key: str, value: Column, path: str, new:
     return F.transform(array, lambda e, i: F.when(i.eqNullSafe(at), e.withField(path, new)).otherwise(e))
 
 
+def merge_elements(array: Column, key: str, updates: Column, fields: list[str]) -> Column:
+    """Every element merged with the first update (a struct with ``fields``) of the same key; fields that an update
+    has null are kept."""
+
+    def merged(e: Column) -> Column:
+        found = F.try_element_at(F.filter(updates, lambda u: u[key].eqNullSafe(e[key])), F.lit(1))
+        for f in fields:
+            e = e.withField(f, F.coalesce(found[f], e[f]))
+        return e
+
+    return F.transform(array, merged)
+
+
 def update_elements(array: Column, key: str, updates: Column, field: str) -> Column:
     """Each element's ``field`` from the map ``updates`` of key to value, where it has the key."""
     return F.transform(array, lambda e: F.when(F.map_contains_key(updates, e[key]), e.withField(field, F.element_at(updates, e[key]))).otherwise(e))
@@ -193,3 +209,39 @@ def on_json(operator: Callable, *args, returns: str = "string") -> Callable[[Col
         return texts.map(one, na_action="ignore") if len(texts) else texts
 
     return run
+
+
+def set_path_json(texts: Column, path: str, value: Column) -> Column:
+    """JSON text with a text value put at a path, in one Arrow-batched pass; null text stays null."""
+    path_steps(path)
+
+    @F.pandas_udf("string")
+    def run(docs: pd.Series, values: pd.Series) -> pd.Series:
+        made = [None if d is None else json.dumps(set_path(json.loads(d), path, None if v is None else v), ensure_ascii=False, separators=(",", ":")) for d, v in zip(docs, values, strict=True)]
+        return pd.Series(made, dtype=object)
+
+    return run(texts, value)
+
+
+def key_exists(texts: Column, key: str) -> Column:
+    """Whether the object of a JSON text has the key, its value null or not."""
+    return F.coalesce(F.array_contains(F.json_object_keys(texts), key), F.lit(False))
+
+
+def type_of_json(texts: Column) -> Column:
+    """object, array, string, number, boolean or null, as JSON names types."""
+    first = F.substring(F.ltrim(texts), 1, 1)
+    return F.when(first == "{", "object").when(first == "[", "array").when(first == '"', "string").when(first.isin("t", "f"), "boolean").when(first == "n", "null").otherwise("number")
+
+
+# other names of the same operators -----------------------------------------------------------------
+
+merge_shallow, merge_at_path, array_update_where, array_update_multi_row = patch_scalar, patch_nested, patch_array, array_update_batch
+extract_jsonb_id, check_array_element_exists, update_array_element_path, update_array_elements_batch, update_single_path = extract_id, array_contains, array_update_path, array_update_batch, set_path
+
+
+def checked(operator: Callable, *args) -> Callable:
+    """An operator whose text arguments that name paths and keys are refused unless they are plain."""
+    for a in args:
+        path_steps(a)
+    return lambda doc, *rest: operator(doc, *args, *rest)

@@ -48,6 +48,14 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     return e
 
 
+def derived(e: Engine, name: str, rows: DataFrame, pk: str, entity: str, fks: dict[str, str] | None = None) -> Engine:
+    """A base table made of others, written to the engine's folder."""
+    path = f"{e.path}/{name}"
+    rows.write.parquet(path)
+    e.register(name, path, pk, entity, fks)
+    return e
+
+
 def with_items(e: Engine, sf_dir: str) -> Engine:
     """``items``: lineitem with a key, its rank in the total order of all columns within the order."""
     rows = e.spark.read.parquet(f"{sf_dir}/lineitem.parquet")
