@@ -16,8 +16,8 @@ groups over LARGE, each class is paired with its best candidate of another compo
 Boruvka's spanning trees, so that large groups grow together by about as many pairs as they have
 classes; then all candidates of components that are still apart are checked. Tokens are hashed into DIMS
 groups (FINE times as many for sets over LONG) and a set's group counts are a point; a group of classes is packed into an R-tree by size and
-coordinates, the overlap of two sets is at most the sum of the coordinate minima, and boxes or points
-whose bound is under the overlap that a link needs are skipped. Pairs of one component need no check.
+coordinates, the overlap of two sets is at most the sum of the coordinate minima, and a search descends from
+the root only into boxes whose bound reaches the overlap that a link needs. Pairs of one component need no check.
 Groups over BLOCK classes are split into pairs of blocks, so no group is one task's. Surviving pairs are
 verified on the sets. No link between components can be lost, so components are exact.
 
@@ -334,7 +334,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 
 class RTree:
-    """Points packed by size and coordinates; leaves of LEAF points with their box and sizes."""
+    """Points packed by size and coordinates under nodes of LEAF children. A node has the box of what lies
+    under it: the highest coordinates, the least and the greatest size. ``levels`` go from the points upwards
+    until LEAF nodes or fewer are left, which are the root's."""
 
     def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
         n = len(sizes)
@@ -342,24 +344,27 @@ class RTree:
         order = np.argsort(sizes, kind="stable")
         spread = int(np.argmax(vectors.var(axis=0)))
         slab = np.arange(n) * slabs // n
-        order = order[np.lexsort((vectors[order, spread], slab))]
-        self.order, self.vectors, self.sizes = order, vectors[order], sizes[order]
-        cuts = np.arange(0, n, LEAF)
-        self.cuts = np.append(cuts, n)
-        self.high = np.maximum.reduceat(self.vectors, cuts)
-        self.least, self.most = np.minimum.reduceat(self.sizes, cuts), np.maximum.reduceat(self.sizes, cuts)
+        self.order = order[np.lexsort((vectors[order, spread], slab))]
+        high, least, most = vectors[self.order], sizes[self.order], sizes[self.order]
+        self.levels = [(high, least, most)]
+        while len(least) > LEAF:
+            cuts = np.arange(0, len(least), LEAF)
+            high, least, most = np.maximum.reduceat(high, cuts), np.minimum.reduceat(least, cuts), np.maximum.reduceat(most, cuts)
+            self.levels.append((high, least, most))
 
     def search(self, vector: np.ndarray, size: int, percent: int = PERCENT) -> np.ndarray:
-        """Points that may overlap enough to link."""
-        boxes = (100 * self.most >= percent * size) & (percent * self.least <= 100 * size)
-        boxes &= np.minimum(self.high, vector).sum(axis=1) >= least_overlap(size, np.maximum(self.least, -(-percent * size // 100)), percent)
-        found = []
-        for leaf in np.flatnonzero(boxes):
-            at = slice(self.cuts[leaf], self.cuts[leaf + 1])
-            bound = np.minimum(self.vectors[at], vector).sum(axis=1)
-            near = np.flatnonzero(bound >= least_overlap(size, self.sizes[at], percent))
-            found.append(self.order[self.cuts[leaf] + near])
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
+        """Points that may overlap enough to link, by descent from the root into the boxes that admit it."""
+        lowest = -(-percent * size // 100)
+        nodes = np.arange(len(self.levels[-1][1]))
+        for depth in range(len(self.levels) - 1, -1, -1):
+            high, least, most = self.levels[depth]
+            nodes = nodes[(most[nodes] >= lowest) & (percent * least[nodes] <= 100 * size)]
+            need = least_overlap(size, np.maximum(least[nodes], lowest), percent)
+            nodes = nodes[np.minimum(high[nodes], vector).sum(axis=1) >= need]
+            if depth:
+                nodes = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
+                nodes = nodes[nodes < len(self.levels[depth - 1][1])]
+        return self.order[nodes]
 
 
 def search_all(asking: np.ndarray, sizes: np.ndarray, points: np.ndarray, of: np.ndarray, percent: int = PERCENT) -> list[np.ndarray]:

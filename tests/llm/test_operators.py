@@ -493,10 +493,12 @@ def test_rtree_finds_what_a_scan_finds():
     v = r.poisson(1.2, (300, jaccard_join.DIMS)).astype(np.int32)
     v[150:] = np.maximum(0, v[:150] + r.integers(-1, 2, (150, jaccard_join.DIMS)) * (r.random((150, jaccard_join.DIMS)) < 0.1))
     n = v.sum(axis=1)
-    tree = jaccard_join.RTree(v, n)
-    for q in range(0, 300, 7):
-        scan = np.flatnonzero(np.minimum(v, v[q]).sum(axis=1) >= jaccard_join.least_overlap(n, n[q]))
-        assert set(scan) == set(tree.search(v[q], int(n[q])).tolist())
+    for count, levels in ((1, 1), (16, 1), (17, 2), (256, 2), (257, 3), (300, 3)):
+        tree = jaccard_join.RTree(v[-count:], n[-count:])
+        assert len(tree.levels) == levels
+        for q in range(0, 300, 7):
+            scan = np.flatnonzero(np.minimum(v[-count:], v[q]).sum(axis=1) >= jaccard_join.least_overlap(n[-count:], n[q]))
+            assert sorted(scan) == sorted(tree.search(v[q], int(n[q])).tolist())
 
 
 def test_words_match_the_pattern():
