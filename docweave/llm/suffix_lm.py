@@ -18,8 +18,9 @@ answers each block with the probabilities of its runs, in their order; words and
 Blocks and answers meet by the block's number. The number of buckets grows with the corpus, so a bucket's size
 doesn't; suffixes that are much commoner than a bucket is large are dealt by one more symbol.
 
-Blocks are numbered twice, when runs are filed and when they are scored: an input whose rows could come in
-another order when a task runs again (after an exchange) is written to the shared folder first.
+Blocks are numbered twice, when runs are filed and when they are scored, by the order of rows and the sizes of
+texts alone: an input whose rows could come in another order when a task runs again (after an exchange) is
+written to the shared folder first.
 
 Defined results: a null text is an empty one (only the end); repeated rows score alike and count each
 in training; null ids are not held out; an empty training set gives uniform symbols; an empty table
@@ -53,6 +54,8 @@ BLANK, END = 0x20, 0x0A
 END_WORD = np.uint64(0x454E44)
 #: Bytes of text in a block; entries that a task gathers before it adds equal ones up; bytes of text worked on at once; symbols in a bucket.
 BLOCK, GATHER, PIECE, BUCKET = 3 << 20, 4 << 20, 1 << 20, 8 << 20
+#: Bytes that a row counts in a block beside its text, so that empty texts fill blocks too.
+ROW = 32
 
 
 def spelled(buf: np.ndarray, offsets: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, tuple]:
@@ -291,13 +294,18 @@ def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Batches with the number of the block of about BLOCK bytes that they are in."""
-    base, number, size = TaskContext.get().partitionId() << 32, 0, 0
-    for batch in chunks(batches, "text", BLOCK // 2):
-        size += pc.sum(pc.fill_null(pc.binary_length(batch.column("text")), 0)).as_py()
-        yield base + number, batch
-        if size > BLOCK // 2:
-            number, size = number + 1, 0
+    """Rows with the number of the block of about BLOCK bytes that they are in: by the sizes of the texts before them
+    in the partition alone, as Arrow batches end by the bytes of all columns, which differ from one pass to the other."""
+    base, before = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW
+        total = before + np.cumsum(sizes)
+        number = (total - sizes) // BLOCK
+        for number_, at in by_bucket(number):
+            yield base + number_, batch.slice(at[0], len(at))
+        before = int(total[-1])
 
 
 def distinct(column: pa.Array, depth: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:

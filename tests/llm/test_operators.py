@@ -196,6 +196,19 @@ def test_scores_do_not_depend_on_blocks_and_buckets(docs, monkeypatch):
     assert scores() == whole
 
 
+def test_blocks_do_not_depend_on_arrow_batches(spark):
+    """Batches end by the bytes of their columns, which are others when runs are filed and when they are scored."""
+    r = random.Random(16)
+    texts = spark.createDataFrame([(i, (prose(r, 9) + " ") * r.randint(1, 90)) for i in range(6000)], "doc_id long, text string").coalesce(1)
+    scores = lambda: {x.doc_id: round(x.score, 3) for x in suffix_lm.score(texts, F.col("doc_id") % 5 > 0).collect()}
+    whole = scores()
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "300000")
+    try:
+        assert scores() == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
 def test_contexts_of_six_symbols_that_save_little(spark):
     """Only the sixth symbol back tells what follows, in ten occurrences (7 nats); and a rare context stays in a large corpus."""
     text = " ".join(["pabcdex", "qabcdey"] * 10)
