@@ -1,8 +1,9 @@
 """SentencePiece merge-type vocabularies: a score-ordered agenda of adjacent symbol pairs.
 
 A text is escaped (space as U+2581, one in front) and cut where no piece can cross: before a run of
-U+2581 and around line feeds. Each distinct unit is merged once by the agenda and kept in a bounded
-cache of the worker; all new units of an Arrow batch are checked against the sentencepiece library.
+U+2581 and around line feeds; new units also between a letter and a sign that no piece has behind letters. Each
+distinct part is merged by the agenda and kept, like units, in a bounded cache of the worker that loses those
+unused longest; all new parts of an Arrow batch are checked against the sentencepiece library.
 
 Nulls in the text column count as empty texts (no ids, decoded to an empty text); ids of rows pass
 through, null or repeated; extra columns are ignored. A null, repeated or very long text needs no
@@ -13,7 +14,10 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
+import operator
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from docweave.llm.common import chunks
+from docweave.llm.common import Recent, chunks
 
 MARK = "▁"
 _UNITS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 class PieceVocabulary:
     """Pieces, scores and byte fallbacks of a model file; encodes units by the agenda."""
 
-    #: Units kept by a worker; the cache is emptied when full.
+    #: Units kept by a worker, those used last.
     CACHE = 400_000
     #: Symbols up to which a scan of the agenda is cheaper than a heap; above every score's rank.
     SHORT, NONE = 32, float("inf")
@@ -57,35 +62,41 @@ class PieceVocabulary:
                 if not lib.is_unused(i):
                     self.ids[piece] = i
                     self.rank[piece] = -lib.get_score(i)
+        pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        after = {b[1] for b in pairs if _LETTER.match(b[0])}
+        marks = "".join(x for x in string.punctuation if x not in after and not _LETTER.match(x))
+        # letters that a sign follows which no piece has behind a letter
+        self.parts = re.compile(f"{MARK}*{_LETTER.pattern}+(?=[{re.escape(marks)}])|(?s:.)+") if marks else None
         if any("\n" in p or MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces of this model cross line feeds or marks; units can't be cut there")
         self.surface = pa.array(surface, pa.binary())
-        self.cache: dict[str, bytes] = {}
+        self.units, self.merged = Recent(self.CACHE), Recent(self.CACHE)
 
     def merge(self, unit: str) -> list[int]:
         """Ids of one escaped unit: pops the pair of the highest score, the leftmost among equals."""
         symbols = self.short(unit) if len(unit) <= self.SHORT else self.long(unit)
-        out: list[int] = []
-        for s in symbols:
-            i = self.ids.get(s)
-            out.extend((i,) if i is not None else [self.byte_ids[b] for b in s.encode()])
-        return out
+        try:
+            return [self.ids[s] for s in symbols]
+        except KeyError:
+            out: list[int] = []
+            for s in symbols:
+                i = self.ids.get(s)
+                out.extend((i,) if i is not None else [self.byte_ids[b] for b in s.encode()])
+            return out
 
     def short(self, unit: str) -> list[str]:
         """The agenda as a list beside the symbols: the best entry is found by a scan."""
-        rank, symbols, none = self.rank, list(unit), self.NONE
-        agenda = [rank.get(a + b, none) for a, b in zip(symbols, symbols[1:])]  # noqa: B905
-        while agenda:
-            best = min(agenda)
-            if best == none:
-                break
+        rank, symbols, none = self.rank.get, list(unit), self.NONE
+        agenda = list(map(rank, map(operator.add, unit, unit[1:]), itertools.repeat(none)))
+        while agenda and (best := min(agenda)) != none:
             i = agenda.index(best)
-            symbols[i] += symbols.pop(i + 1)
-            agenda.pop(i)
+            joined = symbols[i] + symbols.pop(i + 1)
+            symbols[i] = joined
+            del agenda[i]
             if i < len(agenda):
-                agenda[i] = rank.get(symbols[i] + symbols[i + 1], none)
+                agenda[i] = rank(joined + symbols[i + 1], none)
             if i:
-                agenda[i - 1] = rank.get(symbols[i - 1] + symbols[i], none)
+                agenda[i - 1] = rank(symbols[i - 1] + joined, none)
         return symbols
 
     def long(self, unit: str) -> list[str]:
@@ -121,16 +132,21 @@ class PieceVocabulary:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian 32-bit integers."""
         split = [_UNITS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.cache) > self.CACHE:
-            self.cache.clear()
-        cache = self.cache
-        fresh = list({u for units in split for u in units if u not in cache})
+        fresh = self.units.missing(set().union(*split))
+        cache = self.units.young
         if fresh:
-            merged = [self.merge(u) for u in fresh]
-            self.check(fresh, merged)
-            for u, ids in zip(fresh, merged, strict=True):
-                cache[u] = np.array(ids, "<i4").tobytes()
-        return [b"".join([cache[u] for u in units]) for units in split]
+            parts = [self.parts.findall(u) for u in fresh] if self.parts else [[u] for u in fresh]
+            new = self.merged.missing(set().union(*parts))
+            known = self.merged.young
+            merged = [self.merge(u) for u in new]
+            if new:
+                self.check(new, merged)
+            raw, at = np.fromiter(itertools.chain.from_iterable(merged), "<i4").tobytes(), 0
+            for u, ids in zip(new, merged, strict=True):
+                known[u] = raw[at : (at := at + 4 * len(ids))]
+            for u, of in zip(fresh, parts, strict=True):
+                cache[u] = known[of[0]] if len(of) == 1 else b"".join([known[x] for x in of])
+        return [b"".join(map(cache.__getitem__, units)) for units in split]
 
     def check(self, units: list[str], merged: list[list[int]]) -> None:
         """Raises if the library encodes the units, set between line feeds, otherwise."""

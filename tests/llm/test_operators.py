@@ -116,6 +116,34 @@ def test_pieces_equal_the_library(docs, corpus):
     assert piece_bpe.encode_decode(docs.limit(0), path).count() == 0
 
 
+@pytest.mark.parametrize("sort", [piece_bpe.PieceVocabulary])
+def test_units_in_use_stay_in_the_cache(sort):
+    """A full cache loses the units that are unused, and a unit's ids are no others afterwards."""
+    v = sort(public_tokenizers.path("piece_bpe_32k.model" if sort is piece_bpe.PieceVocabulary else "byte_bpe_50k.json"))
+    for cache in [x for x in vars(v).values() if hasattr(x, "most")]:
+        cache.most = 20
+    r, first, seen = random.Random(8), v.encode([" always here, again."]), []
+    found = v.units.missing
+    v.units.missing = lambda keys: (out := found(keys), seen.extend(out))[0]
+    for _ in range(50):
+        assert v.encode([" always here, again.", prose(r, 5, "qwxyz")])[0] == first[0]
+        assert len(v.units.young) + len(v.units.old) < 60
+    assert not {u.strip(" ▁") for u in seen} & {"always", "here,", "here", ",", "again.", "again", "."}
+
+
+def test_words_with_signs_are_merged_by_their_parts():
+    """The same word before other signs is merged once; ids are the library's."""
+    v, asked = piece_bpe.PieceVocabulary(public_tokenizers.path("piece_bpe_32k.model")), []
+    merge = v.merge
+    v.merge = lambda unit: (asked.append(unit), merge(unit))[1]
+    texts = [f"a zorblequist{x} (Zorbl{x}é) 3{x}4{x}{x}e{x} l'été{x}" for x in ["", *"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]]
+    for text, ids in zip(texts, v.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<i4").tolist() == v.library.encode(text), text
+    v.encode(["mmm. nnn,"])
+    assert np.frombuffer(v.encode(["mmm, nnn."])[0], "<i4").tolist() == v.library.encode("mmm, nnn.")  # a new unit of known parts
+    assert asked.count("▁zorblequist") == 1 and "▁zorblequist," not in asked
+
+
 def test_both_agendas_agree():
     v = piece_bpe.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     r = random.Random(3)
