@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from docweave.llm.common import chunks
+from docweave.llm.common import Recent, chunks
 
 #: Windows partitioned at once.
 GROUP = 64
@@ -69,7 +69,7 @@ class ByteTokenizer:
         ranks = {bytes(symbols[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in added}
         self.merges = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.feed = self.merges.encode_ordinary("\n")[0]
-        self.cache: dict[str, bytes] = {}
+        self.units = Recent(self.CACHE)
         self.library = Tokenizer.from_file(str(path))
         self.added = re.compile("|".join(map(re.escape, sorted(added)))) if added else None
 
@@ -77,12 +77,10 @@ class ByteTokenizer:
         """Ids of whole texts as little-endian unsigned 32-bit integers."""
         special = {i for i, t in enumerate(texts) if self.added is not None and self.added.search(t)}
         split = [[] if i in special else _UNITS.findall(t) for i, t in enumerate(texts)]
-        if len(self.cache) > self.CACHE:
-            self.cache.clear()
-        cache = self.cache
         fresh, spaces = [], []
-        for u in {u for units in split for u in units if u not in cache}:
+        for u in self.units.missing(set().union(*split)):
             (spaces if u.isspace() or "\n" in u else fresh).append(u)
+        cache = self.units.young
         if fresh:
             # line feeds between units are tokens of their own, whatever stands beside them
             ids = np.array(self.merges.encode_ordinary("\n".join(fresh)), "<u4")
@@ -93,7 +91,7 @@ class ByteTokenizer:
                 cache[u] = ids[at[i] + 1 : at[i + 1]].tobytes()
         for u in spaces:
             cache[u] = np.array(self.merges.encode_ordinary(u), "<u4").tobytes()
-        out = [b"".join([cache[u] for u in units]) for units in split]
+        out = [b"".join(map(cache.__getitem__, units)) for units in split]
         for i in special:
             out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
         return out

@@ -116,7 +116,7 @@ def test_pieces_equal_the_library(docs, corpus):
     assert piece_bpe.encode_decode(docs.limit(0), path).count() == 0
 
 
-@pytest.mark.parametrize("sort", [piece_bpe.PieceVocabulary])
+@pytest.mark.parametrize("sort", [piece_bpe.PieceVocabulary, packing.ByteTokenizer])
 def test_units_in_use_stay_in_the_cache(sort):
     """A full cache loses the units that are unused, and a unit's ids are no others afterwards."""
     v = sort(public_tokenizers.path("piece_bpe_32k.model" if sort is piece_bpe.PieceVocabulary else "byte_bpe_50k.json"))
