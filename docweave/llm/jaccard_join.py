@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import chunks, free_name, lowered, mix, shingle_hashes, span_hashes, staged, text_bytes, word_spans
+from docweave.llm.common import chunks, free_name, lowered, mix, shingle_hashes, small_batches, span_hashes, staged, text_bytes, tidy, word_spans
 from docweave.llm.suffix_lm import summed
 
 #: Words in a shingle; the similarity of a link in hundredths.
@@ -174,7 +174,7 @@ def surveyed(df: DataFrame, text: str, key: str) -> DataFrame:
             yield from frequent()
 
     source = df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
-    return source.mapInArrow(run, f"kind string, id {id_type}, n long, cls long, th long, vector binary")
+    return source.mapInArrow(tidy("jaccard_join", run), f"kind string, id {id_type}, n long, cls long, th long, vector binary")
 
 
 def looked_up(table: tuple[np.ndarray, np.ndarray], codes: np.ndarray) -> np.ndarray:
@@ -208,7 +208,7 @@ def prefix_keys(df: DataFrame, text: str, order, percent: int = PERCENT) -> Data
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(size))], names=["key", "cls", "n"])
 
-    return df.select(F.col(text).alias("text")).mapInArrow(run, "key long, cls long, n long")
+    return df.select(F.col(text).alias("text")).mapInArrow(tidy("jaccard_join", run), "key long, cls long, n long")
 
 
 def sorted_table(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -262,7 +262,7 @@ def grouped(keys: DataFrame, percent: int = PERCENT) -> DataFrame:
                 second = (int(c[-1]), int(n[-1]))
             members = int(place[-1]) + 1
 
-    return keys.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(run, "kind string, key long, cls long, n long, hub long")
+    return keys.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(tidy("jaccard_join", run), "kind string, key long, cls long, n long, hub long")
 
 
 def bit_map(wanted: DataFrame):
@@ -283,7 +283,7 @@ def mapped(df: DataFrame, th: str, bits, inside: bool) -> DataFrame:
             at = batch.column(th).to_numpy() % MAP_BITS
             yield batch.filter(pa.array(((bits.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1) == inside))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy("jaccard_join", run), df.schema)
 
 
 def held_texts(df: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFrame:
@@ -305,7 +305,7 @@ def described(texts: DataFrame) -> DataFrame:
             found = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), found], names=["cls", "found"])
 
-    return texts.select("text").mapInArrow(run, "cls long, found array<long>").dropDuplicates(["cls"])
+    return texts.select("text").mapInArrow(tidy("jaccard_join", run), "cls long, found array<long>").dropDuplicates(["cls"])
 
 
 def bounded(pairs: DataFrame, near: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -321,7 +321,7 @@ def bounded(pairs: DataFrame, near: DataFrame, percent: int = PERCENT) -> DataFr
             good = [bool(g) and va.finer(i, vb, i, need[i]) for i, g in enumerate(good)]
             yield batch.select(["cls", "hub"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.select("cls", "hub").join(a, "cls").join(b, "hub").select("cls", "hub", "va", "vb").mapInArrow(run, "cls long, hub long")
+    return pairs.select("cls", "hub").join(a, "cls").join(b, "hub").select("cls", "hub", "va", "vb").mapInArrow(tidy("jaccard_join", run), "cls long, hub long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -418,7 +418,7 @@ def searched(groups: DataFrame, near: DataFrame, percent: int = PERCENT, best: b
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["cls", "hub"])
 
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cls")
-    return dealt.mapInArrow(run, "cls long, hub long").distinct()
+    return dealt.mapInArrow(tidy("jaccard_join", run), "cls long, hub long").distinct()
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
@@ -470,7 +470,8 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", percent: int =
     """Per row ``key``, th (xxhash64 of the text), n_shingles, cls (class), root (component's smallest class)
     and component_id, the smallest id of the component; a row without shingles is its own component."""
     spark = df.sparkSession
-    survey = staged(surveyed(df, text, key), "jaccard-survey")
+    with small_batches(spark):
+        survey = staged(surveyed(df, text, key), "jaccard-survey")
     members = survey.where("kind = 'd'").select("id", "n", "cls", "th")
     full = members.where("n > 0")
     total, shingles = full.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -481,7 +482,8 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", percent: int =
     common = counts.where((F.col("kind") == "w") & (F.col("n") >= least)).select("cls", F.round(1 + 16 * F.log2(F.col("n") / least)).cast("long").alias("n"))
     order = spark.sparkContext.broadcast((sorted_table(hot.toArrow()), sorted_table(common.toArrow())))
 
-    groups = staged(grouped(prefix_keys(df, text, order, percent), percent), "jaccard-groups")
+    with small_batches(spark):
+        groups = staged(grouped(prefix_keys(df, text, order, percent), percent), "jaccard-groups")
     stars = groups.where("kind = 's'").select("cls", "hub").distinct()
     runs = groups.where("kind = 'g'").select("key", "cls")
     classes = full.groupBy("cls").agg(F.min(F.struct("id", "th")).alias("first"), F.min("id").alias("least"))
@@ -490,9 +492,11 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", percent: int =
     near = staged(points.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "jaccard-near")
 
     def linked_of(left: DataFrame) -> DataFrame:
-        left = staged(left, "jaccard-pairs")
+        with small_batches(spark):
+            left = staged(left, "jaccard-pairs")
         named = left.select(F.explode(F.array("cls", "hub")).alias("cls")).distinct().join(classes, "cls").select("first.id", "first.th")
-        sets = staged(described(held_texts(df, text, key, named)), "jaccard-sets")
+        with small_batches(spark):
+            sets = staged(described(held_texts(df, text, key, named)), "jaccard-sets")
         return staged(verified(left, sets, percent), "jaccard-links")
 
     links = linked_of(bounded(stars, near, percent))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import chunks, free_name, text_bytes
+from docweave.llm.common import chunks, free_name, text_bytes, tidy
 
 WINDOW, HIDDEN = 64, 8
 #: Bounds of the training sample, and its passes.
@@ -204,7 +204,7 @@ def windows_of(df: DataFrame, text: str, lang: str, key: str) -> DataFrame:
 
     of_id = Window.partitionBy(key).orderBy(F.xxhash64(text, lang), lang)
     few = df.where(F.length(text) > 0).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(key, text, lang).alias("key"), F.row_number().over(of_id).alias("place"))
-    return few.where(F.col("place") <= ROWS_AN_ID).select("text", "lang", "key").mapInArrow(run, schema)
+    return few.where(F.col("place") <= ROWS_AN_ID).select("text", "lang", "key").mapInArrow(tidy("langid", run), schema)
 
 
 def train(df: DataFrame, where: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", most: int = TRAIN_ROWS) -> Network:
@@ -252,4 +252,4 @@ def predict(df: DataFrame, net: Network, text: str = "text", keep: tuple[str, ..
                 score = np.where(known, np.clip(p.max(axis=1), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
-    return df.select(*kept, *([] if text in kept else [F.col(text).alias(read)])).mapInArrow(run, schema)
+    return df.select(*kept, *([] if text in kept else [F.col(text).alias(read)])).mapInArrow(tidy("langid", run), schema)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from docweave.llm.common import Recent, chunks
+from docweave.llm.common import Recent, chunks, keeps, tidy
 
 #: Windows partitioned at once.
 GROUP = 64
@@ -102,6 +102,9 @@ def tokenizer(path: str) -> ByteTokenizer:
     return ByteTokenizer(path)
 
 
+keeps("packing", tokenizer.cache_clear)
+
+
 def difference(sizes: list[int], k: int) -> list[list[int]]:
     """Karmarkar-Karp: indices of ``sizes`` in ``k`` parts of near-equal sums."""
     if not sizes:
@@ -224,4 +227,4 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", capa
             place(pending)
             yield out()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy("packing", run), schema)

@@ -6,6 +6,7 @@ import re
 import tarfile
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -529,6 +530,46 @@ def test_near_copies_in_a_large_group(spark):
     assert got == {i: root[i] for i in range(len(rows))}
 
 
+def test_texts_go_to_the_join_in_small_batches(spark, docs, monkeypatch):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, most, plain = spark.conf.get(name), {}, jaccard_join.staged
+
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+
+    def probed(df, tag):
+        if tag in ("jaccard-survey", "jaccard-groups", "jaccard-pairs", "jaccard-sets"):
+            large = spark.range(40).coalesce(1).select(F.concat(F.col("id"), F.repeat(F.lit("x"), 1_000_000)).alias("text"))
+            most[tag] = max(r.n for r in large.mapInArrow(sizes, "n long").collect())
+        return plain(df, tag)
+
+    monkeypatch.setattr(jaccard_join, "staged", probed)
+    jaccard_join.join(docs)
+    assert len(most) == 4 and max(most.values()) < 8_000_000
+    assert spark.conf.get(name) == before
+
+
+def test_workers_let_go_what_other_operators_keep(docs, monkeypatch):
+    """The tokenizer of packing stays for its own tasks, not while a reused worker runs those of the stages before."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    given = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *_: given.append(f) or self)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    packing.pack(docs, path)
+    quality_rank.score(docs, None)
+    langid.predict(docs, langid.Network([]))
+    jaccard_join.surveyed(docs, "text", "doc_id")
+    jaccard_join.prefix_keys(docs, "text", SimpleNamespace(value=(None, None)))
+    own, *others = given
+    assert len(others) == 4
+    for f in others:
+        packing.tokenizer(path)
+        list(own(iter([])))
+        assert packing.tokenizer.cache_info().currsize == 1
+        list(f(iter([])))
+        assert packing.tokenizer.cache_info().currsize == 0
+
+
 def test_rtree_finds_what_a_scan_finds():
     r = np.random.default_rng(11)
     v = r.poisson(1.2, (300, jaccard_join.DIMS)).astype(np.int32)
