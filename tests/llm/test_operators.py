@@ -478,6 +478,30 @@ def test_ranking(spark, docs):
     assert {o.score for o in quality_rank.score(docs, none).collect()} == {0.5}
 
 
+def test_ranking_learns_from_every_label(spark, monkeypatch, tmp_path):
+    """Each labelled row is in some block's pairs, whatever the rows, copies of an id and shares of labels."""
+    seen, plain = tmp_path, quality_rank.fit
+
+    def noted(x, good, often, own, *rest):
+        counts = f"{(often * own)[good].sum()} {(often * own)[~good].sum()} {good.all()} {good.any()}"
+        (seen / str(hash((x.tobytes(), good.tobytes())))).write_text(counts)
+        return plain(x, good, often, own, *rest)
+
+    monkeypatch.setattr(quality_rank, "fit", noted)
+    monkeypatch.setattr(quality_rank, "PAIRS", 400)
+    r = random.Random(19)
+    rows = [(i, prose(r, 12) + (" ###" if i % 50 == 0 else "")) for i in range(4600)] + [(7, "copied text of an id")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 50 > 0)) for i in range(4600)], "doc_id long, quality int")
+    model = quality_rank.train(df, labels, F.lit(True), block=100)
+    counts = [[int(n) if n.isdigit() else n == "True" for n in f.read_text().split()] for f in seen.iterdir()]
+    assert len(counts) > 40 and sum(c[0] for c in counts) == 4538 and sum(c[1] for c in counts) == 92
+    assert all(any_ and not all_ for _, _, all_, any_ in counts)
+    out = quality_rank.score(df, model).collect()
+    assert sum((o.score >= 0.5) == (o.doc_id % 50 > 0) for o in out) >= 0.97 * len(out)
+    assert all(len(set(quality_rank.dealt(np.random.default_rng(1), np.arange(k), 4000))) == k for k in (3, 999))
+
+
 # 10 ----------------------------------------------------------------------------------------------
 
 
