@@ -102,7 +102,7 @@ class Changes:
         if found is not None:
             return Changes.local(spark, *found)
         path = f"{folder}/{tag}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return Changes.read(spark, path, df.schema)
 
     @staticmethod

@@ -15,14 +15,14 @@ import time
 import uuid
 from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.changes import FEW, Changes, Keys, compared, delta_of, few, keys_frame
+from docweave.changes import FEW, Changes, Keys, compared, delta_of, few, keys_frame, nullable
 from docweave.errors import (
     DependencyUnresolved,
     DuplicateKey,
@@ -305,7 +305,8 @@ class Engine:
 
     def _fill(self, model: Model) -> None:
         frames = Frames(self, {n: t for n, t in self.tables.items() if n != model.name})
-        rows = self._stamped(lineage.bound(self.spark, model.select, frames), datetime.now(timezone.utc).isoformat())
+        at = datetime.now(timezone.utc).isoformat()
+        rows = self._stamped(lineage.bound(self.spark, model.select, frames), at)
         path = f"{self.path}/{model.name}-{uuid.uuid4().hex}"
         filters = tuple(c for c in (model.schema.id, *model.fks, *model.schema.uuid_fks) if c in rows.columns)
         write_root(rows, path, model.pk, filters)
@@ -314,7 +315,7 @@ class Engine:
         twice = read.groupBy(model.pk).count().where("count > 1").limit(1).collect()
         if twice:
             raise DuplicateKey(f"{model.name}: key {twice[0][0]} has {twice[0][1]} rows")
-        self.tables[model.name] = made
+        self.tables[model.name] = replace(made, filled=at)
 
     def convert(self, name: str, path: str, select: str | None = None, base: str | None = None, comment: str = "", **given) -> str:
         """An existing Parquet table becomes a model. It needs ``id`` and ``data``. With a select, its rows are
@@ -541,6 +542,14 @@ class Reach:
         return self._keys
 
 
+@dataclass
+class Rebuilt:
+    """A model with a new root in which ``n`` rows are others."""
+
+    table: Versioned
+    n: int
+
+
 class Transaction:
     """Changes since ``begin``: nothing is published before ``commit``; savepoints are cheap, tables are immutable."""
 
@@ -769,9 +778,43 @@ class Transaction:
         after = F.struct(*[F.struct(*[F.col("_d").alias(f) if f == name else F.col("data")[f].alias(f) for f in data.names]).alias("data") if c == "data" else F.col(c) for c in columns])
         return hit.select(F.col(model.pk).alias("pk"), F.struct(*columns).alias("before"), after.alias("after"), "created_at")
 
-    def _refreshed(self, model: Model, reach: Reach, refreshed: dict[str, Changes]) -> tuple[Changes, str]:
+    def _rebuilt(self, model: Model, reach: Reach, refreshed: dict[str, Changes], at: datetime) -> Rebuilt | None:
+        """The model patched into a new root, where so many embedded documents changed that its delta would be folded
+        into one at once: rows are moved once instead of three times, and no images are written. Only for models
+        that no other reads, as those would need the images; None where it doesn't apply."""
+        e, entity = self.e, model.fks.get(reach.by or "")
+        if not e.config.smart_patch or reach.values is None or entity not in refreshed or model.kinds.get(reach.by, ("",))[0] != lineage.Kind.NESTED:
+            return None
+        rows, t, source = refreshed[entity], self.tables[model.name], self.tables[next(m.name for m in e.models.values() if m.entity == entity)]
+        if rows.rows is not None or any(model.entity in r for n, r in e.refers().items() if n != model.entity) or rows.frame.where("before IS NULL OR after IS NULL").limit(1).collect():
+            return None
+        name = lineage.embedded(model.select, f"v_{entity}", inner=True)
+        data, new = t.struct["data"].dataType, rows.frame.schema["after"].dataType["data"].dataType
+        if name is None or not isinstance(data, T.StructType) or name not in data.names or nullable(data[name].dataType) != nullable(new):
+            return None
+        n, of = (self.spark.read.schema(x.struct).parquet(x.root).count() for x in (t, source))
+        if n * rows.n <= of * max(e.config.compact_rows, e.config.compact_share * n):
+            return None
+        when = F.lit(at).cast("timestamp")
+        docs = rows.frame.where(~F.col("before.data").eqNullSafe(F.col("after.data"))).select(F.col("pk").alias("_f"), F.col("after.data").alias("_d"))
+        if t.filled is not None and not t.deltas:
+            # all rows are as old: the definition gives them with less to move than the stored ones
+            made = F.lit(t.filled).cast("timestamp")
+            both = e.view(model.name, self.tables).join(docs.select("_f"), F.col(reach.by) == F.col("_f"), "left").withColumn("created_at", made).withColumn("updated_at", F.when(F.col("_f").isNotNull(), when).otherwise(made))
+        else:
+            both = e.table(model.name, self.tables).join(docs, F.col(reach.by) == F.col("_f"), "left").withColumn("updated_at", F.when(F.col("_f").isNotNull(), when).otherwise(F.col("updated_at")))
+            both = both.withColumn("data", F.struct(*[(F.when(F.col("_f").isNotNull(), F.col("_d")).otherwise(F.col("data")[f]) if f == name else F.col("data")[f]).alias(f) for f in data.names]))
+        path = f"{e.path}/{model.name}-{uuid.uuid4().hex}"
+        write_root(both.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in t.struct]), path, model.pk, t.filters)
+        changed = self.spark.read.schema(t.struct).parquet(path).where(F.col("updated_at") == when).count()
+        return Rebuilt(Versioned(t.name, t.pk, path, t.schema, filters=t.filters), changed)
+
+    def _refreshed(self, model: Model, reach: Reach, refreshed: dict[str, Changes], at: datetime) -> tuple[Changes | Rebuilt, str]:
         """The model's changed rows, with created_at of those that were there."""
         e = self.e
+        rebuilt = self._rebuilt(model, reach, refreshed, at)
+        if rebuilt is not None:
+            return rebuilt, "patch"
         both = self._patch(model, reach, refreshed)
         if both is not None:
             found, how = Changes.of(both.where(~F.col("before").eqNullSafe(F.col("after"))), e.path, f"delta-{model.entity}"), "patch"
@@ -802,13 +845,13 @@ class Transaction:
         both = old.join(fresh, "pk", "full_outer").select("pk", "before", "after", "created_at")
         return Changes.of(both.where(~F.col("before").eqNullSafe(F.col("after"))), self.e.path, tag, n is not None and n > FEW)
 
-    def _one(self, model: Model, changed: dict[str, list[Changes]], refreshed: dict[str, Changes]) -> tuple[Changes | None, str] | None:
+    def _one(self, model: Model, changed: dict[str, list[Changes]], refreshed: dict[str, Changes], at: datetime) -> tuple[Changes | Rebuilt | None, str] | None:
         reach = self.affected(model, changed, refreshed)
         if reach is None:
             return None
         if reach.none:
             return None, "none"
-        return self._refreshed(model, reach, refreshed)
+        return self._refreshed(model, reach, refreshed, at)
 
     def commit(self, batch_id: str | None = None) -> dict:
         begun = time.perf_counter()
@@ -822,7 +865,7 @@ class Transaction:
         with ThreadPoolExecutor(4) as pool:
             for models in e.levels():
                 # models of one level are refreshed side by side
-                found = dict(zip([m.name for m in models], pool.map(lambda m: self._one(m, changed, refreshed), models), strict=True))
+                found = dict(zip([m.name for m in models], pool.map(lambda m: self._one(m, changed, refreshed, at), models), strict=True))
                 reached += any(f is not None and f[0] is not None and f[0].n for f in found.values())
                 if reached > e.config.propagation_iterations:
                     raise PropagationDepthExceeded(f"changes reach more than {e.config.propagation_iterations} levels of models")
@@ -831,19 +874,22 @@ class Transaction:
                         continue
                     rows, self.strategies[model.name] = found[model.name]
                     gone = 0
-                    if rows is not None and rows.n:
+                    if isinstance(rows, Rebuilt):
+                        self.tables[model.name] = rows.table
+                    elif rows is not None and rows.n:
                         gone = rows.rows.column("after").null_count if rows.rows is not None else rows.frame.where("after IS NULL").count()
                         t = self.tables[model.name]
                         self.tables[model.name] = t.with_delta(delta_of(rows, t, at), rows.n)
                         refreshed[model.entity] = rows
                     report[model.name] = {"rewritten": (rows.n if rows is not None else 0) - gone, "removed": gone}
-            # what the transaction changed is written, and long chains of deltas folded
+            # what the transaction changed is written, long chains of deltas folded, much of a table at once into its root
+            def kept(t: Versioned) -> Versioned:
+                if len(t.deltas) > 6 or t.changed() > e.config.compact_rows:
+                    t = t.compacted(self.spark, e.path, e.config.compact_share, e.config.compact_rows)
+                return t.written(self.spark, e.path)
+
             changed_tables = [n for n, t in self.tables.items() if any(d.path is None for d in t.deltas)]
-            written = pool.map(lambda n: self.tables[n].written(self.spark, e.path), changed_tables)
-            self.tables |= dict(zip(changed_tables, written, strict=True))
-            long = [n for n in changed_tables if len(self.tables[n].deltas) > 6 or self.tables[n].changed() > e.config.compact_rows]
-            folded = pool.map(lambda n: self.tables[n].compacted(self.spark, e.path, e.config.compact_share, e.config.compact_rows), long)
-            self.tables |= dict(zip(long, folded, strict=True))
+            self.tables |= dict(zip(changed_tables, pool.map(lambda n: kept(self.tables[n]), changed_tables), strict=True))
         before, e.tables = e.tables, self.tables
         if batch_id is not None:
             e.applied.append(batch_id)

@@ -61,7 +61,7 @@ def with_items(e: Engine, sf_dir: str) -> Engine:
     rows = e.spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     rank = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*[c for c in rows.columns if c != "l_orderkey"]))
     path = f"{e.path}/items"
-    rows.withColumn("item_id", F.col("l_orderkey") * 1000 + rank).write.parquet(path)
+    rows.withColumn("item_id", F.col("l_orderkey") * 1000 + rank).write.option("compression", "zstd").parquet(path)
     e.register("items", path, "item_id", "item", {"l_orderkey": "order"})
     return e
 

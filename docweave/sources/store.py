@@ -101,7 +101,8 @@ class Delta:
 
 @dataclass(frozen=True)
 class Versioned:
-    """A table of unique ``pk``: where its root and deltas are, oldest first. ``schema``: JSON of the root's."""
+    """A table of unique ``pk``: where its root and deltas are, oldest first. ``schema``: JSON of the root's.
+    ``filled``: when all rows of the root were made, if at one time."""
 
     name: str
     pk: str
@@ -110,6 +111,7 @@ class Versioned:
     deltas: tuple[Delta, ...] = ()
     root_rows: int | None = None
     filters: tuple[str, ...] = ()
+    filled: str | None = None
 
     @staticmethod
     def of(spark: SparkSession, name: str, pk: str, root: str, filters: tuple[str, ...] = ()) -> Versioned:
@@ -120,7 +122,7 @@ class Versioned:
         return Versioned(**{**d, "deltas": tuple(Delta(x["rows"], x["path"]) for x in d["deltas"]), "filters": tuple(d["filters"])})
 
     def as_dict(self) -> dict:
-        return {"name": self.name, "pk": self.pk, "root": self.root, "schema": self.schema, "deltas": [{"rows": d.rows, "path": d.path} for d in self.deltas], "root_rows": self.root_rows, "filters": list(self.filters)}
+        return {"name": self.name, "pk": self.pk, "root": self.root, "schema": self.schema, "deltas": [{"rows": d.rows, "path": d.path} for d in self.deltas], "root_rows": self.root_rows, "filters": list(self.filters), "filled": self.filled}
 
     @property
     def struct(self) -> T.StructType:
@@ -199,8 +201,8 @@ class Versioned:
 
 
 def write_root(df: DataFrame, path: str, pk: str, filters: tuple[str, ...] = ()) -> None:
-    """Sorted by key within files, with bloom filters that grow with what they hold."""
-    writer = df.sortWithinPartitions(pk).write.option("parquet.bloom.filter.adaptive.enabled", "true")
+    """Sorted by key within files, with bloom filters that grow with what they hold; by zstd, as ids are hashes in hex."""
+    writer = df.sortWithinPartitions(pk).write.option("compression", "zstd").option("parquet.bloom.filter.adaptive.enabled", "true")
     for c in dict.fromkeys((pk, *filters)):
         writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
     writer.parquet(path)

@@ -321,3 +321,52 @@ def test_references():
     names = {"a", "b", "s.c", "items"}
     found = lineage.references("SELECT a.x, items, '(FROM b)' FROM a, (SELECT * FROM b AS bb WHERE y IN (SELECT z FROM s.c)) t JOIN LATERAL (SELECT 1 FROM items) l ON true -- , b\n LEFT JOIN a a2 ON a2.x = a.x", names)
     assert [(r.name, r.alias, r.depth) for r in found] == [("a", "a", 0), ("b", "bb", 1), ("s.c", "c", 2), ("items", "items", 1), ("a", "a2", 0)]
+
+
+@pytest.mark.parametrize("join", ["LEFT JOIN", "JOIN"])
+def test_many_embedded_documents_make_a_new_root_in_one_pass(spark, engine, monkeypatch, join):
+    from docweave import changes
+    from docweave import engine as module
+
+    engine.create("tv_note", f"SELECT pk_comment AS pk_note, fk_post AS fk_post, named_struct('text', text, 'post', v_post.data) AS data FROM tb_comment {join} v_post ON v_post.pk_post = fk_post", "tb_comment")
+    monkeypatch.setattr(changes, "FEW", 2)
+    monkeypatch.setattr(module, "FEW", 2)
+    object.__setattr__(engine.config, "compact_rows", 0)
+    made = []
+    plain = module.Transaction._rebuilt
+    monkeypatch.setattr(module.Transaction, "_rebuilt", lambda *a: made.append((a[1].name, plain(*a))) or made[-1][1])
+
+    def rows():
+        return {r.pk_note: r for r in engine.table("tv_note").collect()}
+
+    for turn in range(3):  # from a root of one time, then from one of several
+        before = rows()
+        made.clear()
+        t = engine.begin().update("tb_post", "pk_post % 3 = 0", {"title": f"concat(title, '{turn}')"})
+        report = t.commit()
+        after = rows()
+        assert_equal(engine)
+        assert {n for n, r in made if r is not None} == {"tv_note"} and t.strategies["tv_note"] == "patch"  # others read tv_post
+        other = {k for k in after if after[k].data != before[k].data}
+        assert other == {k for k in after if after[k].fk_post % 3 == 0} and report["tv_note"] == {"rewritten": len(other), "removed": 0}
+        assert {k for k in after if after[k].updated_at != before[k].updated_at} == other
+        assert all(after[k].created_at == before[k].created_at for k in after) and not engine.tables["tv_note"].deltas
+    # rows that come and go decide which rows a join keeps
+    made.clear()
+    engine.apply(lambda t: t.delete("tb_post", "pk_post % 4 = 1"))
+    assert_equal(engine)
+    assert all(r is None for _, r in made)
+    reread = Engine(spark, engine.path)
+    assert_equal(reread)
+    # nothing is rebuilt for a few documents
+    made.clear()
+    engine.apply(lambda t: t.update("tb_post", "pk_post = 3", {"title": "'x'"}))
+    assert_equal(engine)
+    assert all(r is None for _, r in made)
+
+
+def test_embedded_by_an_inner_join():
+    sql = "SELECT pk_x, named_struct('b', v_u.data) AS data FROM x JOIN v_u ON v_u.pk_u = fk_u"
+    assert lineage.embedded(sql, "v_u", inner=True) == "b" == lineage.embedded(sql.replace("JOIN", "LEFT JOIN"), "v_u", inner=True)
+    for other in (sql.replace("JOIN", "RIGHT JOIN"), sql.replace("JOIN", "FULL OUTER JOIN"), sql + " AND x.a > 1", sql + " WHERE x.a > 1", sql.replace("= fk_u", "> fk_u")):
+        assert lineage.embedded(other, "v_u", inner=True) is None, other
