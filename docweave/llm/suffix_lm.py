@@ -15,8 +15,9 @@ depend on each other and on a table of the contexts of up to SHORT symbols alone
 symbols are dealt into buckets by these. One pass over the texts files, by bucket, the counts of training runs
 and the distinct runs of each block of texts; a bucket adds its counts up, evaluates its part of the tree and
 answers each block with the probabilities of its runs, in their order; words and their counts go the same way.
-Blocks and answers meet by the block's number. The number of buckets grows with the corpus, so a bucket's size
-doesn't; suffixes that are much commoner than a bucket is large are dealt by one more symbol.
+Blocks and answers meet by the block's number. A bucket has BUCKET symbols in a small corpus; beyond BUCKETS
+buckets they grow up to LARGEST symbols first, then in number, as every block files a row in every bucket. A bucket
+reads these rows one by one. Suffixes that are much commoner than a bucket is large are dealt by one more symbol.
 
 Blocks are numbered twice, when runs are filed and when they are scored, by the order of rows and the sizes of
 texts alone: an input whose rows could come in another order when a task runs again (after an exchange) is
@@ -26,7 +27,7 @@ Defined results: a null text is an empty one (only the end); repeated rows score
 in training; null ids are not held out; an empty training set gives uniform symbols; an empty table
 gives an empty result; extra columns are ignored. Words are identified by 64-bit hashes; a symbol's logarithm
 is exact to a part in 100,000 and equal for equal runs. Memory is bounded by
-a block of texts or one long text, and by a bucket's distinct runs.
+a block of texts or one long text, by a bucket's distinct runs and by its compressed rows.
 """
 
 from __future__ import annotations
@@ -52,8 +53,10 @@ LEAST_GAIN, LEAST_COUNT = 4.0, 4
 BLANK, END = 0x20, 0x0A
 #: The hash that stands for the end token among words.
 END_WORD = np.uint64(0x454E44)
-#: Bytes of text in a block; entries that a task gathers before it adds equal ones up; bytes of text worked on at once; symbols in a bucket.
-BLOCK, GATHER, PIECE, BUCKET = 3 << 20, 4 << 20, 1 << 20, 8 << 20
+#: Bytes of text in a block; entries that a task gathers before it adds equal ones up; bytes of text worked on at once.
+BLOCK, GATHER, PIECE = 3 << 20, 4 << 20, 1 << 20
+#: Symbols in a bucket at least and at most, and buckets up to which the least is kept.
+BUCKET, LARGEST, BUCKETS = 8 << 20, 64 << 20, 96
 #: Bytes that a row counts in a block beside its text, so that empty texts fill blocks too.
 ROW = 32
 
@@ -107,6 +110,19 @@ def unique(codes: np.ndarray) -> np.ndarray:
     return codes[np.concatenate([[True], codes[1:] != codes[:-1]])] if len(codes) else codes
 
 
+def merged(parts: Iterator[np.ndarray]) -> np.ndarray:
+    """Sorted distinct codes of all parts, of which GATHER, or twice the distinct ones so far, are held at once."""
+    held, size, most = [], 0, GATHER
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size > most:
+            held = [unique(np.concatenate(held))]
+            size = len(held[0])
+            most = max(GATHER, 2 * size)
+    return unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+
+
 def low(codes: np.ndarray, symbols: int) -> np.ndarray:
     """The last ``symbols`` symbols of codes."""
     return codes & np.uint64((1 << (8 * symbols)) - 1)
@@ -199,6 +215,11 @@ class Buckets:
         return np.unique(self.of_runs(np.uint64(code) | (np.arange(256, dtype=np.uint64) << np.uint64(8 * (SHORT + 1)))))
 
 
+def bucket_size(symbols: int) -> int:
+    """Symbols in a bucket of a corpus. Rows of blocks and buckets are as many as blocks times buckets."""
+    return max(BUCKET, min(LARGEST, -(-symbols // BUCKETS)))
+
+
 def turned(codes: np.ndarray) -> np.ndarray:
     """Codes with the symbols that a bucket's runs share in front, so that sorted ones are near each other."""
     older = codes >> np.uint64(8 * (SHORT + 1))
@@ -380,14 +401,14 @@ def answered(rows: DataFrame, depth: int) -> DataFrame:
         out = []
 
         def added(kind: str) -> tuple[np.ndarray, np.ndarray]:
-            codes, counts = [], []
+            codes, counts, most = [], [], GATHER
             for _, raw, numbers in of[kind]:
                 codes.append(keys_of(raw))
                 flat = zstandard.ZstdDecompressor().decompress(numbers)
                 counts.append(unpacked(numbers, "<u4" if len(flat) == 4 * len(codes[-1]) else "<i8").astype(np.int64))
-                if sum(map(len, codes)) > GATHER:
+                if sum(map(len, codes)) > most:
                     code, n = summed(codes, counts)
-                    codes, counts = [code], [n]
+                    codes, counts, most = [code], [n], max(GATHER, 2 * len(code))
             return summed(codes, counts)
 
         words, times = added("w")
@@ -396,7 +417,7 @@ def answered(rows: DataFrame, depth: int) -> DataFrame:
         for block, raw, _ in of["x"]:
             out.append((block, bucket, False, 0, 0, 0, packed(looked_up((words, times), keys_of(raw), 0).astype("<i8"))))
         if of["r"]:
-            needed = unique(np.concatenate([keys_of(raw) for _, raw, _ in of["r"]]))
+            needed = merged(keys_of(raw) for _, raw, _ in of["r"])
             codes = np.sort(back(needed))
             key, n = added("c")
             count = looked_up((key, n), turned(codes), 0)
@@ -464,8 +485,9 @@ def score(df: DataFrame, training: Column, text: str = "text", keep: tuple[str,
     pair = F.col("code").bitwiseAND(F.lit(0xFFFF).cast("long"))
     # at most 65,536 pairs, and suffixes of which each has a quarter of a bucket or more
     root = context.broadcast(Root({r[0]: r[1] for r in short.groupBy(pair.alias("pair")).agg(F.sum("n")).collect()}))
-    many = max(1, -(-symbols // BUCKET))
-    hot = short.groupBy(F.shiftright("code", 8).alias("suffix")).agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET // 4).select("suffix").toArrow() if many > 1 else None
+    size = bucket_size(symbols)
+    many = max(1, -(-symbols // size))
+    hot = short.groupBy(F.shiftright("code", 8).alias("suffix")).agg(F.sum("n").alias("n")).where(F.col("n") > size // 4).select("suffix").toArrow() if many > 1 else None
     buckets = context.broadcast(Buckets(many, hot.column(0).to_numpy().astype(np.uint64) if hot is not None else np.zeros(0, np.uint64)))
     rows = filed(df, text, F.col(trains), buckets, depth).unionByName(contexts(short, root, buckets))
     found = staged(answered(rows, depth), "lm-answers")

@@ -225,6 +225,21 @@ def test_scores_do_not_depend_on_blocks_and_buckets(docs, monkeypatch):
     assert scores() == whole
 
 
+def test_buckets_grow_before_their_number(docs, monkeypatch):
+    """Rows filed and answered are as many as blocks times buckets: with 96 buckets and more these grow first."""
+    scores = lambda: Counter((r.doc_id, r.n_tokens, r.n_known, round(r.score, 3)) for r in suffix_lm.score(docs, F.coalesce(F.col("doc_id") % 5 > 0, F.lit(False))).collect())
+    made, size = [], suffix_lm.bucket_size
+    monkeypatch.setattr(suffix_lm, "bucket_size", lambda n: made.append(-(-n // size(n))) or size(n))
+    for name, value in (("BLOCK", 2000), ("BUCKET", 300), ("GATHER", 200), ("PIECE", 900)):
+        monkeypatch.setattr(suffix_lm, name, value)
+    monkeypatch.setattr(suffix_lm, "BUCKETS", 1 << 30)
+    many = scores()
+    monkeypatch.setattr(suffix_lm, "BUCKETS", 8)
+    assert scores() == many and made[0] > 100 and made[1] <= 8
+    monkeypatch.setattr(suffix_lm, "LARGEST", 1000)
+    assert scores() == many and 8 < made[2] < made[0]
+
+
 def test_blocks_do_not_depend_on_arrow_batches(spark):
     """Batches end by the bytes of their columns, which are others when runs are filed and when they are scored."""
     r = random.Random(16)
